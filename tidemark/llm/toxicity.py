@@ -41,7 +41,7 @@ _TABLE = str.maketrans(LOOKALIKE)
 _ACCENTS = re.compile("[̀-ͯ]+")
 _OTHER = re.compile("[^a-z]+")
 #: Signs count as letters only inside a word: elsewhere they are punctuation.
-_SIGNS = re.compile(r"(?<![A-Za-z0-9])[!|$@]+|[!|$@]+(?![A-Za-z0-9])")
+_SIGNS = re.compile(r"(?<![\w!|$@])[!|$@]+|[!|$@]+(?![\w!|$@])")
 _DIGITS = re.compile(r"\b[0-9]+\b")
 
 
@@ -76,7 +76,7 @@ class Lexicon:
 def measure(text: str, machine: ahocorasick.Automaton) -> tuple[float, int]:
     """Sum of the weights (each word's best), and the number of folded words."""
     folded = fold(text)
-    n = folded.count(" ") - 1
+    n = folded.count(" ") - 1 if len(folded) > 2 else 0
     if not len(machine):
         return 0.0, n
     best: dict[int, float] = {}
