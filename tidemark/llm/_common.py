@@ -51,8 +51,12 @@ def text_of(col: str | Column) -> Column:
 
 
 def lower_ascii(col: Column) -> Column:
-    """A-Z to a-z and nothing else."""
-    return F.translate(col, UPPER, UPPER.lower())
+    """A-Z to a-z and nothing else.
+
+    ``translate`` looks up every character; a text of ASCII alone takes the quick way.
+    """
+    plain = F.octet_length(col) == F.char_length(col)
+    return F.when(plain, F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

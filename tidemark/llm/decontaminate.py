@@ -14,28 +14,36 @@ from pyspark.sql import functions as F
 
 from ._common import let, lower_ascii, row_key, stage, text_of
 
-#: A word is a run of anything but ASCII other than letters and digits (after lower-casing).
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_WINDOWS = 2_000_000
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(text), F.lit(TOKEN), F.lit(0))
+#: What lies between words, in text that isn't lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def _hash(w: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(*[F.get(w, at + i) for i in range(n)])
+def words(text: Column, *, lower: bool = True) -> Column:
+    """Splitting at the gaps costs less than extracting the words; only the ends can be empty."""
+    return F.array_remove(F.split(lower_ascii(text) if lower else text, GAP, -1), "")
+
+
+def _hash(h: Column, at: Column, n: int) -> Column:
+    """Of the window of ``n`` words at ``at``; ``h`` holds a hash of each word."""
+    return F.xxhash64(*[F.get(h, at + i) for i in range(n)])
+
+
+def word_hashes(w: Column) -> Column:
+    """Each word's hash, so that a word isn't hashed again in each window that holds it."""
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
 def _hashes(w: Column, sizes: list[int]) -> Column:
-    """array<struct<n, h>> for each size: element i is the window that starts at word i."""
+    """array<array<long>>, of each size the hashes of all windows; ``w`` has a hash of each word."""
 
     def of(n: int) -> Column:
-        many = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), _hash(w, i, n).alias("h")))
-        return F.when(F.size(w) >= n, many).otherwise(F.array().cast("array<struct<at:int,n:int,h:bigint>>"))
+        many = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: _hash(w, i, n))
+        return F.when(F.size(w) >= n, many).otherwise(F.array().cast("array<bigint>"))
 
-    parts = [of(n) for n in sizes]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    return F.array(*[of(n) for n in sizes])
 
 
 def windows(bench: DataFrame, *, n: int = 8, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -45,9 +53,10 @@ def windows(bench: DataFrame, *, n: int = 8, item_col: str = "item_id", text_col
     w = w.select("item", "w", "len", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("at"))
     w = w.select("item", "len", F.slice("w", F.col("at") + 1, F.col("len")).alias("window"))
     w = w.groupBy(F.col("len").alias("n"), "window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    w = w.withColumn("wh", word_hashes(F.col("window")))
     hashed = F.when(F.lit(False), F.lit(0).cast("long"))
     for k in range(1, n + 1):
-        hashed = hashed.when(F.col("n") == k, _hash(F.col("window"), F.lit(0), k))
+        hashed = hashed.when(F.col("n") == k, _hash(F.col("wh"), F.lit(0), k))
     return w.select(hashed.alias("h"), "n", "window", "items")
 
 
@@ -58,9 +67,11 @@ def hits(docs: DataFrame, bench: DataFrame, *, n: int = 8, id_col: str = "doc_id
     if wins.count() <= BROADCAST_WINDOWS:
         wins = F.broadcast(wins)
     split = docs.select(*row_key(id_col, text_col), words(text_of(text_col)).alias("w"))
-    probes = split.select("k1", "k2", "w", F.explode(_hashes(F.col("w"), sizes or [n])).alias("p"))
-    probes = probes.select("k1", "k2", "w", F.col("p.at").alias("at"), F.col("p.n").alias("n"), F.col("p.h").alias("h"))
-    found = probes.join(wins, ["h", "n"]).filter(F.slice("w", F.col("at") + 1, F.col("n")) == F.col("window"))
+    probes = split.select("k1", "k2", "w", F.explode(let(word_hashes(F.col("w")), lambda h: _hashes(h, sizes or [n]))).alias("hs"))
+    # one long each: no row is built for a window before its hash was found
+    probes = probes.select("k1", "k2", "w", F.posexplode("hs").alias("at", "h"))
+    same = F.slice("w", F.col("at") + 1, F.col("n")) == F.col("window")
+    found = probes.join(wins, "h").filter(same)
     found = found.select("k1", "k2", F.sequence("at", F.col("at") + F.col("n") - 1).alias("at"), "items")
     return found.groupBy("k1", "k2").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("at"),
@@ -78,7 +89,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, n: int = 8, min_items: i
     one item, and a null item id is none; empty tables give no rows or no hits; other columns are
     ignored.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), F.regexp_count(lower_ascii(text_of(text_col)), F.lit(TOKEN)).cast("long").alias("n_words"))
+    base = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), F.size(words(text_of(text_col), lower=False)).cast("long").alias("n_words"))
     found = hits(docs, bench, n=n, id_col=id_col, text_col=text_col, item_col=item_col, bench_text_col=bench_text_col)
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     rows = base.join(found, ["k1", "k2"], "left")
@@ -105,12 +116,12 @@ def remove(docs: DataFrame, bench: DataFrame, *, n: int = 8, min_items: int = 2,
     marks = found.select(F.col("k1").alias("_tm_k1"), F.col("k2").alias("_tm_k2"), F.col("at").alias("_tm_at"), F.size("items").alias("_tm_items"))
     rows = docs.join(marks, (k1 == F.col("_tm_k1")) & (k2 == F.col("_tm_k2")), "left")
     rows = rows.filter(F.col("_tm_items").isNull() | (F.col("_tm_items") < min_items))
-    gap = TOKEN.replace("[^", "[").rstrip("+") + "*"
+    gap, word = f"(?:{GAP})?", GAP.replace("[", "[^")
 
     def cut(text: Column) -> Column:
         # each piece is a word with the separators before it; what follows the last word stays
-        pieces = F.regexp_extract_all(text, F.lit(f"{_any_case(gap)}{_any_case(TOKEN)}"), F.lit(0))
-        tail = F.regexp_extract(text, f"{_any_case(gap)}$", 0)
+        pieces = F.regexp_extract_all(text, F.lit(gap + word), F.lit(0))
+        tail = F.regexp_extract(text, gap + "$", 0)
         hit = F.map_from_arrays(F.col("_tm_at"), F.col("_tm_at"))
         keep = F.filter(pieces, lambda p, i: ~F.map_contains_key(hit, i))
         return F.concat(F.array_join(keep, ""), tail)
@@ -120,8 +131,3 @@ def remove(docs: DataFrame, bench: DataFrame, *, n: int = 8, min_items: int = 2,
     if length_col:
         rows = rows.withColumn(length_col, F.when(F.col("_tm_at").isNull(), F.col(length_col)).otherwise(F.char_length(F.col(text_col)).cast("long")))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _any_case(pattern: str) -> str:
-    """The same class over text that isn't lower-cased: A-Z belong to words too."""
-    return pattern.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
