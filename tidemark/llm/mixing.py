@@ -50,7 +50,7 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, total: floa
     s = s.withColumn("level", (F.col("all") * total - F.col("capped")) / F.col("open"))
     s = s.withColumn("found", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("capped", "open", "level"))).over(everything)["level"])
     target = F.when(F.col("found").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("found")))
-    return s.select("source", "source_size", "place", "weight", target.alias("target"))
+    return s.select(*sizes.columns, "place", "weight", target.alias("target"))
 
 
 def _positions(rows: DataFrame, keys: list[str], order: list[str], bucket: str, amount: str, name: str) -> DataFrame:
@@ -75,14 +75,13 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, total: float = 1
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("k1"))
     # ids and order are written once: later steps and reruns of tasks see the same ones
     rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "mix-documents")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     goal = stage(targets(sizes, weights=weights, total=total, most=most).withColumn("quota", F.round("target").cast("long")), "mix-targets")
-    few = goal.select("place", "source", "source_size", "target", "quota")
+    few = goal.select("place", "source", "source_size", "n_docs", "target", "quota")
     same = rows["source"].eqNullSafe(few["source"])
     placed = rows.join(F.broadcast(few) if few.count() <= 100_000 else few, same).drop(rows["source"])
-    # a bucket holds some thousand rows whatever the table's size
-    buckets = max(1, rows.count() // 4096)
-    placed = placed.withColumn("bucket", F.pmod(F.col("k1"), F.lit(buckets)))
+    # a bucket holds about a thousand rows, whatever the sizes of the table and of the source
+    placed = placed.withColumn("bucket", F.pmod(F.col("k1"), F.ceil(F.col("n_docs") / 1024)))
     placed = _positions(placed, ["place"], ["k1", "doc_id", "rid"], "bucket", "size", "begin")
     placed = stage(placed, "mix-positions")
 
