@@ -18,8 +18,18 @@ from pyspark.sql import functions as F
 
 from ._common import WS, new_path, stage, text_of
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming.stateStore."
+#: State on disk; the caches and write buffers of all state partitions of an executor share one
+#: bound, whatever their number.
+_SETTINGS = {
+    _STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    _STATE + "rocksdb.boundedMemoryUsage": "true",
+    _STATE + "rocksdb.maxMemoryUsageMB": "128",
+    _STATE + "rocksdb.writeBufferSizeMB": "2",
+    _STATE + "rocksdb.maxWriteBufferNumber": "2",
+    # many small state partitions: no files allocated ahead
+    _STATE + "rocksdb.allowFAllocate": "false",
+}
 #: Above this many repeated digests their set (16 bytes each) isn't broadcast as a pre-filter.
 BROADCAST_DIGESTS = 1_000_000
 
@@ -73,8 +83,9 @@ def ingest(
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         query = (
             keyed.writeStream.outputMode("update")
@@ -85,7 +96,8 @@ def ingest(
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     fields = keyed.schema
     empty = spark.createDataFrame([], fields)
     try:
