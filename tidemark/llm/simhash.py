@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import row_key, stage
@@ -31,21 +31,26 @@ MAX_PAIRED = 256
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: bytes, size: int = 4) -> int:
-    """Of one text. A-Z are lower-cased; bytes.split() takes the contract's six white spaces."""
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """Hashes of the word shingles of one text, repeated ones too; none for a text without words.
+
+    A-Z are lower-cased; bytes.split() takes the contract's six white spaces.
+    """
     words = text.lower().split()
-    if not words:
-        return 0
     line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= size:
-        hashes = np.array([digest(line, SEED)], dtype="<u8")
-    else:
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        first, last = starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(first, last, strict=True)], dtype="<u8")
+        return np.array([digest(line, SEED)] if words else [], dtype="<u8")
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    first, last = starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
+    return np.array([digest(line[a:b], SEED) for a, b in zip(first, last, strict=True)], dtype="<u8")
+
+
+def fingerprint(text: bytes, size: int = 4) -> int:
+    """Of one text; zero without words."""
+    hashes = shingles(text, size)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):  # bounded memory for very long texts
         ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -191,11 +196,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def _rooted(distinct: DataFrame, bits: int) -> DataFrame:
     """``distinct``: fp, least. Adds root, the least fingerprint of fp's component."""
     ids = stage(distinct, "distinct-fingerprints")
-    roots = stage(components(links(ids.select("fp"), bits=bits)), "fingerprint-roots")
+    return hung(ids, links(ids.select("fp"), bits=bits))
+
+
+def hung(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """``ids``: fp, least. Adds root, the least fp of fp's component under ``edges`` (a, b)."""
+    roots = stage(components(edges), "fingerprint-roots")
     found = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     return stage(found.select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
 
 
+def first() -> Column:
+    """Orders the rows of a group: the first of them stays."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+
+
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, bits: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; all columns stay.
 
@@ -203,8 +218,11 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     repeated rows one stays.
     """
     fp = stage(fingerprints(docs, id_col=id_col, text_col=text_col, size=size), "fingerprints")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
-    rooted = _rooted(fp.groupBy("fp").agg(F.min(first).alias("least")), bits)
+    return first_rows(docs, _rooted(fp.groupBy("fp").agg(F.min(first()).alias("least")), bits), id_col=id_col, text_col=text_col)
+
+
+def first_rows(docs: DataFrame, rooted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that are the least of their root, each once."""
     stay = rooted.groupBy("root").agg(F.min("least").alias("least"))
     stay = stay.select(F.col("least.k1").alias("_tm_k1"), F.col("least.k2").alias("_tm_k2"))
     k1, k2 = row_key(id_col, text_col)
