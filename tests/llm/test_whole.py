@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_operators import SF, frame
-from tidemark.llm import near_copies
+from tidemark.llm import near_copies, toxicity
 
 
 def _similar_groups(rows, size=5, similarity=0.8):
@@ -50,3 +50,12 @@ def test_near_copies_large_group(spark, monkeypatch, chunk):
     got = near_copies.without_near_copies(frame(spark, rows))
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, r in root.items() if i == r)
     assert near_copies.without_near_copies(frame(spark, rows).limit(0)).collect() == []
+
+
+def test_no_usable_labels_keep_documents(spark):
+    docs = frame(spark, [(i, f"plain words {i}", "en", "s", 0) for i in range(4)])
+    schema = "doc_id long, toxic int"
+    for rows in ([], [(99, 1), (98, 0)], [(0, 1), (1, 1)]):
+        lexicon = toxicity.learn(docs, spark.createDataFrame(rows, schema))
+        assert all(r.score < 0.5 for r in toxicity.score(docs, lexicon).collect())
+        assert toxicity.without_toxic(docs, lexicon).count() == 4

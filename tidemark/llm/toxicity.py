@@ -149,7 +149,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", keep:
     n_toxic, n_all = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
     n_clean = n_all - n_toxic
     if not n_toxic or not n_clean:
-        return Lexicon({}, [], (float(np.log((n_toxic + 0.5) / (n_clean + 0.5))), 0.0, 0.0))
+        # nothing says what toxic looks like: as if one clean document at least were known
+        return Lexicon({}, [], (float(np.log(0.5 / (max(n_clean, 1) + 0.5))), 0.0, 0.0))
     least = max(3, n_toxic // 200)
     weight = _log_odds(n_toxic, n_clean)
     found = _counted(rows, _patterns).filter(F.col("toxic") >= least).withColumn("weight", weight)
@@ -213,7 +214,8 @@ def score(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col
 
     Defined cases: a null or empty text scores what no matches score; matches in very long texts
     all count; repeated rows score alike; null ids return; an empty table gives no rows; other
-    columns are ignored. Without labels of both kinds the lexicon is empty, all score the same.
+    columns are ignored. Without labels of both kinds the lexicon is empty, and all score the same,
+    below 0.5.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
