@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_operators import SF, frame
-from tidemark.llm import near_copies, toxicity
+from tidemark.llm import exact_dedup, near_copies, toxicity
 
 
 def _similar_groups(rows, size=5, similarity=0.8):
@@ -59,3 +59,12 @@ def test_no_usable_labels_keep_documents(spark):
         lexicon = toxicity.learn(docs, spark.createDataFrame(rows, schema))
         assert all(r.score < 0.5 for r in toxicity.score(docs, lexicon).collect())
         assert toxicity.without_toxic(docs, lexicon).count() == 4
+
+
+def test_exact_dedup_twice_on_one_state(spark, tmp_path):
+    path, state = str(tmp_path / "t"), f"file://{tmp_path}/state"
+    frame(spark, [(5, "a b", "", "", 0), (6, "d", "", "", 0)]).write.parquet(path)
+    exact_dedup.exact_dedup(spark, path, state_dir=state).collect()
+    frame(spark, [(3, "a  b", "", "", 0), (9, "c", "", "", 0)]).write.mode("append").parquet(path)
+    out = exact_dedup.exact_dedup(spark, path, state_dir=state).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out) == [(3, 3, 2, True), (5, 3, 2, False), (6, 6, 1, True), (9, 9, 1, True)]

@@ -106,11 +106,18 @@ def ingest(
         if "PATH_NOT_FOUND" not in str(e):
             raise
         seen = empty
-    if not max_files_per_trigger:
+    if _batches(spark, changes) <= 1:  # each digest has one row
         return seen
     return seen.groupBy("digest").agg(F.max("n").alias("n"), F.min("first").alias("first"))
 
 
+def _batches(spark: SparkSession, changes: str) -> int:
+    """Micro-batches that have been written, by this call or an earlier one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(changes)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sum(f.getPath().getName().startswith("batch=") for f in fs.listStatus(p)) if fs.exists(p) else 0
+
+
 def exact_dedup(
     spark: SparkSession,
     path: str,
