@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from tests.llm import brute
 from tests.llm.test_operators import SF, frame
 from tidemark.llm import exact_dedup, near_copies, toxicity
 
@@ -68,3 +69,25 @@ def test_exact_dedup_twice_on_one_state(spark, tmp_path):
     frame(spark, [(3, "a  b", "", "", 0), (9, "c", "", "", 0)]).write.mode("append").parquet(path)
     out = exact_dedup.exact_dedup(spark, path, state_dir=state).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out) == [(3, 3, 2, True), (5, 3, 2, False), (6, 6, 1, True), (9, 9, 1, True)]
+
+
+@pytest.mark.parametrize(("bits", "most"), [(256, 32 << 20), (256, 0), (4, 0)])
+def test_exact_dedup_calls_on_one_state(spark, tmp_path, monkeypatch, bits, most):
+    """Each call over the files so far equals brute force; the second needs no old file without a hit."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", most)
+    path, state = str(tmp_path / "t"), f"file://{tmp_path}/state"
+    parts = [[(i, f"text  {i % 40}", "en", "s", 0) for i in range(60, 90)], [(i, f"alone {i}", "en", "s", 0) for i in range(5)], [(i, f"text {i % 40}", "en", "s", 0) for i in range(20, 60, 2)]]
+    seen = []
+    for k, part in enumerate(parts):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(path)
+        seen += [(r[0], r[1]) for r in part]
+        if bits == 256 and k == 2:
+            for f in (tmp_path / "t").iterdir():
+                if f.suffix == ".parquet" and spark.read.parquet(str(f)).filter("text like 'alone%'").count():
+                    f.unlink()
+        out = exact_dedup.exact_dedup(spark, path, state_dir=state, digest_bits=bits).collect()
+        want = brute.groups(seen)
+        assert {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in out} == want and len(out) == len(want)
+        assert all(r.kept == (r.doc_id == r.keep_id) for r in out)
+    again = exact_dedup.exact_dedup(spark, path, state_dir=state, digest_bits=bits).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, out))

@@ -16,10 +16,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one in local mode only."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -40,9 +42,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _hadoop(spark: SparkSession, path: str) -> tuple:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def within(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names in a folder, hidden ones apart; none if there is no such folder."""
+    fs, p = _hadoop(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if n[0] not in "._")
+
+
+def create(spark: SparkSession, path: str) -> None:
+    """An empty file, which is there whole or not at all."""
+    fs, p = _hadoop(spark, path)
+    fs.create(p, True).close()
 
 
 def text_of(col: str | Column) -> Column:
