@@ -91,3 +91,44 @@ def test_exact_dedup_calls_on_one_state(spark, tmp_path, monkeypatch, bits, most
         assert all(r.kept == (r.doc_id == r.keep_id) for r in out)
     again = exact_dedup.exact_dedup(spark, path, state_dir=state, digest_bits=bits).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
+
+
+def _naive(text, lexicon):
+    """Each entry looked for at each place, each exception beside it."""
+    folded = toxicity.fold(text)
+    spared = [(a, a + len(p) - 1) for p in lexicon.exceptions for a in range(len(folded)) if folded.startswith(p, a)]
+    total = 0.0
+    for at in range(len(folded)):
+        best = max((w for t, w in lexicon.terms.items() if folded.startswith(t, at)), default=0.0)
+        if best > 0 and not any(a <= at < b for a, b in spared):
+            total += best
+    return total, len(folded.split())
+
+
+def test_matcher_against_naive():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    for _ in range(60):
+        terms = {(f" {word()} " if rng.random() < 0.5 else f" {word()}"): rng.choice([1.0, 2.0, 4.0]) for _ in range(8)}
+        phrases = [f" {' '.join(word() for _ in range(rng.randint(1, 3)))} " for _ in range(6)]
+        lexicon = toxicity.Lexicon(terms, phrases)
+        machine = lexicon.automaton()
+        for _ in range(20):
+            text = " ".join(word() for _ in range(rng.randint(0, 40)))
+            assert toxicity.measure(text, machine) == _naive(text, lexicon)
+    lexicon = toxicity.Lexicon({" a": 1.0}, [" a b ", " b a "])
+    assert toxicity.measure("a b " * 50_000 + "a c a", lexicon.automaton()) == (1.0, 100_003)  # spans in plenty
+
+
+def test_toxicity_learns_long_beginnings_and_many_entries(spark):
+    """No entry is lost by its number or its length: only by evidence."""
+    long_ = "abcdefghijklmnopqrstuvw"
+    rows = [(i, f"{long_}{'xyzuv'[i % 5]} plain", "", "", 0) for i in range(50)]
+    rows += [(100 + i, f"{long_[:9]}other words", "", "", 0) for i in range(50)]
+    many = ["".join(chr(97 + (k // 26**j) % 26) for j in range(3)) for k in range(6_000)]
+    rows += [(200 + i, " ".join(many), "", "", 0) for i in range(10)]
+    labels = spark.createDataFrame([(r[0], int(r[0] < 50 or r[0] >= 200)) for r in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn(frame(spark, rows), labels)
+    folded = toxicity.fold(long_).strip()
+    assert f" {folded[:10]}" in lexicon.terms
+    assert len({t for t in lexicon.terms if len(t) == 5}) > 5_000

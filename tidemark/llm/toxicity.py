@@ -5,12 +5,19 @@ case; i and l, which the digit 1 stands for alike, are one letter. The lexicon (
 word beginnings with their log odds) and the exception phrases (in which a term doesn't count) are
 learned from labelled documents, at most ``MAX_LABELLED`` of them; a logistic curve over the
 weights' sum and its share of the text's length gives the score.
+
+Evidence alone decides what is learned. An entry needs 1 in ``EVIDENCE`` of the toxic documents of
+the sample, or ``LEAST`` of them, so there are at most ``EVIDENCE`` times as many entries as a
+document has words and beginnings; exceptions are phrases round an entry in ``LEAST`` clean
+documents or more, so fewer than the entries' places in the sample. Both are bounded by the sample,
+whatever the corpus is.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,8 +33,10 @@ from ._common import stage
 
 #: Labelled rows that are learned from, at most: those with the smallest hashes of their ids.
 MAX_LABELLED = 20_000
-#: Entries of the lexicon, and of the exception phrases, at most.
-MAX_TERMS = 5_000
+#: The share (one in so many) and the number of documents that must hold what is learned.
+EVIDENCE, LEAST = 200, 3
+#: Letters of the shortest beginning, and of the longest that the first pass counts.
+SHORTEST, LONGEST = 4, 9
 #: What stands for a letter. Latin look-alikes of Cyrillic and Greek letters, then
 #: digits and signs.
 LOOKALIKE = {
@@ -75,20 +84,26 @@ class Lexicon:
 
 def measure(text: str, machine: ahocorasick.Automaton) -> tuple[float, int]:
     """Sum of the weights (each word's best), and the number of folded words."""
-    folded = fold(text)
+    return _matched(fold(text), machine)
+
+
+def _matched(folded: str, machine: ahocorasick.Automaton) -> tuple[float, int]:
     n = folded.count(" ") - 1 if len(folded) > 2 else 0
     if not len(machine):
         return 0.0, n
     best: dict[int, float] = {}
-    spared: list[tuple[int, int]] = []
+    spared: list[tuple[int, int]] = []  # phrases, merged where they meet
     for end, (length, weight, exception) in machine.iter(folded):
         start = end - length + 1
         if exception:
+            while spared and spared[-1][1] >= start:  # ends ascend, starts may not
+                start = min(start, spared.pop()[0])
             spared.append((start, end))
         elif weight > best.get(start, 0.0):
             best[start] = weight
     if spared:
-        best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
+        starts, ends = zip(*spared, strict=True)
+        best = {s: w for s, w in best.items() if (k := bisect_right(starts, s)) == 0 or s >= ends[k - 1]}
     return sum(best.values()), n
 
 
@@ -97,16 +112,27 @@ def features(total: float, n: int) -> tuple[float, float]:
 
 
 def _patterns(folded: str) -> set[str]:
-    """Words and their beginnings of 4 to 9 letters, with the space before them."""
+    """Words and their first beginnings, with the space before them."""
     out = set()
     for w in set(folded.split()):
         out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in range(4, min(len(w), 9) + 1))
+        out.update(f" {w[:k]}" for k in range(SHORTEST, min(len(w), LONGEST) + 1))
     return out
 
 
+def _longer(stems: set[str], upto: int):
+    """Patterns: the beginnings, of ``upto`` letters at most, that go on from one of ``stems``."""
+    size = len(next(iter(stems)))
+
+    def of(folded: str) -> set[str]:
+        words = {w for w in folded.split() if len(w) >= size and f" {w[: size - 1]}" in stems}
+        return {f" {w[:k]}" for w in words for k in range(size, min(len(w), upto) + 1)}
+
+    return of
+
+
 def _counted(rows: DataFrame, patterns) -> DataFrame:
-    """pattern, toxic, clean: documents of each label that hold it. rows: text, label."""
+    """pattern, toxic, clean: documents of each label that hold it. rows: folded, label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -119,8 +145,8 @@ def _counted(rows: DataFrame, patterns) -> DataFrame:
             return pa.RecordBatch.from_arrays(out, ["pattern", "toxic", "clean"])
 
         for b in batches:
-            for text, label in zip(b.column("text"), b.column("label").to_pylist(), strict=True):
-                counts[label].update(patterns(fold(text.as_py() or "")))
+            for folded, label in zip(b.column("folded"), b.column("label").to_pylist(), strict=True):
+                counts[label].update(patterns(folded.as_py()))
                 if len(counts[0]) + len(counts[1]) > 300_000:
                     yield flush()
         yield flush()
@@ -143,24 +169,33 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", keep:
     """Fit on documents with labels for which ``keep`` (over the labels' columns) holds."""
     keep = F.lit(True) if keep is None else keep
     chosen = stage(sample_labels(labels, label_col, keep, id_col=id_col, most=most), "labels-sample")
-    # at most ``most`` ids: safe to broadcast whatever the table's size
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = stage(rows.select("text", "label").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "labelled")
+    # at most ``most`` ids: safe to broadcast whatever the table's size; of rows that share an id
+    # the one with the least text counts, so that the sample is bounded whatever repeats
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stage(rows.select("text", "label").repartition(parts).mapInArrow(_folded, "folded string, label int"), "labelled")
     n_toxic, n_all = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
     n_clean = n_all - n_toxic
     if not n_toxic or not n_clean:
         # nothing says what toxic looks like: as if one clean document at least were known
         return Lexicon({}, [], (float(np.log(0.5 / (max(n_clean, 1) + 0.5))), 0.0, 0.0))
-    least = max(3, n_toxic // 200)
+    least = max(LEAST, n_toxic // EVIDENCE)
     weight = _log_odds(n_toxic, n_clean)
-    found = _counted(rows, _patterns).filter(F.col("toxic") >= least).withColumn("weight", weight)
-    found = found.filter((F.col("weight") >= 2.5) & (F.col("clean") <= F.col("toxic"))).orderBy(F.desc("toxic"), "pattern").limit(4 * MAX_TERMS)
+    telling = (F.col("weight") >= 2.5) & (F.col("clean") <= F.col("toxic"))
     terms: dict[str, float] = {}
-    for r in sorted(found.collect(), key=lambda r: (len(r.pattern), r.pattern)):
-        stem = r.pattern.rstrip()
-        if not any(stem[:k] in terms for k in range(5, len(stem) + 1)):
-            terms[r.pattern] = float(r.weight)
-    terms = dict(sorted(terms.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
+    patterns, longest = _patterns, LONGEST
+    while True:
+        # a beginning is in no more documents than a shorter one of it: only those with enough
+        # evidence at the greatest length can go on
+        held = _counted(rows, patterns).filter(F.col("toxic") >= least).withColumn("weight", weight)
+        found = held.filter(telling | (F.length("pattern") == longest + 1) & ~F.endswith("pattern", F.lit(" "))).withColumn("tells", telling).collect()
+        terms |= {r.pattern: float(r.weight) for r in found if r.tells}
+        stems = {r.pattern for r in found if len(r.pattern) == longest + 1 and r.pattern[-1] != " "}
+        if not stems:
+            break
+        patterns, longest = _longer(stems, 2 * longest), 2 * longest
+    terms = _shortest(terms)
     words = Lexicon(terms).automaton()
 
     def phrases(folded: str) -> set[str]:
@@ -176,15 +211,31 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", keep:
                     out.add(folded[start : after + 1])
         return out
 
-    spare = _counted(rows, phrases).filter((F.col("clean") >= 3) & (weight <= 0)).orderBy(F.desc("clean"), "pattern").limit(MAX_TERMS)
-    lexicon = Lexicon(terms, [r.pattern for r in spare.collect()])
+    spare = _counted(rows, phrases).filter((F.col("clean") >= LEAST) & (weight <= 0))
+    lexicon = Lexicon(terms, sorted(r.pattern for r in spare.collect()))
     # two numbers and a label of each sampled row
-    got = _measured(rows.select("text", "label"), lexicon, ["label"], "label int").collect()
+    got = _measured(rows, lexicon, ["label"], "label int", folded=True).collect()
     x = np.array([[1.0, *features(r.total, r.n)] for r in got])
     lexicon.curve = _logistic(x, np.array([r.label for r in got], dtype=float))
     return lexicon
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [fold(t.as_py()) for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column("label")], ["folded", "label"])
+
+
+def _shortest(terms: dict[str, float]) -> dict[str, float]:
+    """``terms`` without those that another one begins."""
+    out: dict[str, float] = {}
+    for term in sorted(terms, key=lambda t: (len(t), t)):
+        stem = term.rstrip()
+        if not any(stem[:k] in out for k in range(SHORTEST + 1, len(stem) + 1)):
+            out[term] = terms[term]
+    return out
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float, float]:
     """Newton steps with a ridge, so that separable labels give a finite curve."""
     w = np.zeros(x.shape[1])
@@ -198,11 +249,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def _measured(rows: DataFrame, lexicon: Lexicon, names: list[str], schema: str) -> DataFrame:
+def _measured(rows: DataFrame, lexicon: Lexicon, names: list[str], schema: str, *, folded: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()
         for b in batches:
-            got = [measure(t.as_py() or "", machine) for t in b.column("text")]
+            if folded:
+                got = [_matched(t.as_py(), machine) for t in b.column("folded")]
+            else:
+                got = [measure(t.as_py() or "", machine) for t in b.column("text")]
             out = [b.column(n) for n in names] + [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())]
             yield pa.RecordBatch.from_arrays(out, [*names, "total", "n"])
 
@@ -232,13 +286,11 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text",
     """
 
     @F.pandas_udf("double")
-    def total(texts: pd.Series) -> pd.Series:
-        machine = lexicon.automaton()
-        out = []
+    def total(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = lexicon.automaton()  # once a task
         a, b, c = lexicon.curve
-        for t in texts:
-            x = features(*measure(t or "", machine))
-            out.append(1 / (1 + np.exp(-(a + b * x[0] + c * x[1]))))
-        return pd.Series(out, dtype=float)
+        for texts in batches:
+            x = [features(*measure(t or "", machine)) for t in texts]
+            yield pd.Series([1 / (1 + np.exp(-(a + b * s + c * d))) for s, d in x], dtype=float)
 
     return docs.filter(total(F.col(text_col)) < threshold)
