@@ -4,11 +4,13 @@ Slots are numbered 0, 1, 2, ...; slot k's point frac(k * golden ratio) falls in
 stretch of the cumulative weights, so every prefix of the schedule is close to the weights. Slots
 are ranked per source; each source's documents, shuffled by hash, form a stream of words cut into
 blocks of equal word counts, and the source's r-th slot takes the r-th block, going round again
-after the last. What the schedule leaves a few slots short or over at a source's end is settled on
-that source's last slots, so that each takes its target to the word.
+after the last. The slots drawn decide what is taken: a source gets its target within the few
+blocks by which its share of the points departs from its weight, and only its last slot takes part
+of a block, where the whole would pass the target.
 
-Running positions are two-level sums (a bucket by hash, then rows in it), as is the ranking of the
-slots, so that a source with any share of all rows is never in one task.
+Running positions come from range partitions, each with the sum of those before it, so neither a
+source with any share of all rows nor a row repeated any number of times is ever in one task. No
+table that grows with the sources is broadcast by hint.
 """
 
 from __future__ import annotations
@@ -18,122 +20,131 @@ from pyspark.sql import functions as F
 
 from ._common import WORD, stage, text_of
 
-#: The golden ratio's fraction (fixed value), and that of 2**20 times it: two steps keep the
-#: product's fraction exact to some 2**-30 for any slot number.
+#: The golden ratio's fraction (fixed value).
 GOLDEN = 0.6180339887498949
-GOLDEN_20 = (GOLDEN * (1 << 20)) % 1.0
 #: The weights, repeating over the sources in order.
 WEIGHTS = (5, 2, 1)
+#: Words of a block, at most, and blocks that the smallest target should have; but no more than
+#: ``SLOTS`` slots in all where larger blocks do.
+BLOCK, FINE, SLOTS = 1024, 1024, 1 << 20
+#: Cells of the unit interval, at least, by which points meet the sources' stretches.
+CELLS = 4096
+
+
+def running(rows: DataFrame, order: list[Column | str], amounts: dict[str, Column | str], name: str) -> DataFrame:
+    """Adds, for each of ``amounts``, the sum over the rows that come before in ``order``.
+
+    Rows are cut into ranges, written once, and summed by range; the table of ranges has a row for
+    each partition, so its own running sum and its broadcast are bounded by their number.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    added = {f"_amount_{k}": F.col(c) if isinstance(c, str) else c for k, c in amounts.items()}
+    ranged = stage(rows.withColumns(added).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), name)
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range").agg(*[F.sum(c).alias(c) for c in added])
+    bases = sums.select("_range", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"_base{c}") for c in added])
+    near = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = ranged.withColumns({f"_in{c}": F.coalesce(F.sum(c).over(near), F.lit(0)) for c in added})
+    out = inner.join(F.broadcast(bases), "_range")
+    return out.select(*rows.columns, *[(F.col(f"_base_amount_{k}") + F.col(f"_in_amount_{k}")).alias(k) for k in amounts])
 
 
 def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``sizes``: source, source_size. Adds target, by one pass over the table of sources.
+    """``sizes``: source, source_size. Adds place, weight and target.
 
     Targets are weight * level, held at ``most`` times the size; the level follows in closed form
     from the sources in order of most * size / weight, since those below it are the capped ones.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    s = sizes.withColumn("place", F.row_number().over(order) - 1)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    s = s.withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before, after = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    s = s.withColumns(
-        {
-            "capped": F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
-            "open": F.sum("weight").over(after),
-            "all": F.sum("source_size").over(everything),
-        }
-    )
-    # the level if this source and those after it are open: right for the first that it doesn't cap
-    s = s.withColumn("level", (F.col("all") * total - F.col("capped")) / F.col("open"))
-    s = s.withColumn("found", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("capped", "open", "level"))).over(everything)["level"])
-    target = F.when(F.col("found").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("found")))
+    s = running(sizes, [F.col("source").isNotNull().cast("int") * -1, F.col("source")], {"place": F.lit(1)}, "mix-places")
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    s = s.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    s = running(s, [F.col("cap") / F.col("weight"), F.col("place")], {"capped": "cap", "shut": "weight"}, "mix-levels")
+    s = stage(s, "mix-caps")
+    words, open_ = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    # the level if a source and those after it are open: right for the first that it doesn't cap
+    level = (F.lit(words * total) - F.col("capped")) / (F.lit(open_) - F.col("shut"))
+    fits = s.withColumn("level", level).filter(F.col("level") <= F.col("cap") / F.col("weight"))
+    found = fits.agg(F.min(F.struct("shut", "level"))["level"].alias("level")).first().level
+    target = F.col("cap") if found is None else F.least("cap", F.col("weight") * F.lit(found))
     return s.select(*sizes.columns, "place", "weight", target.alias("target"))
 
 
-def _positions(rows: DataFrame, keys: list[str], order: list[str], bucket: str, amount: str, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``amount`` over the rows of ``keys`` that come before in order."""
-    sums = rows.groupBy(*keys, bucket).agg(F.sum(amount).alias("_sum"))
-    to = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    bases = stage(sums.select(*keys, bucket, F.coalesce(F.sum("_sum").over(to), F.lit(0)).alias("_base")), "bases")
-    near = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = rows.withColumn("_in", F.coalesce(F.sum(amount).over(near), F.lit(0)))
-    return inner.join(bases, [*keys, bucket]).withColumn(name, F.col("_base") + F.col("_in")).drop("_base", "_in", bucket)
+def points(slot: Column) -> Column:
+    """frac(slot * golden ratio); two steps keep it exact to some 2**-30 for any slot number."""
+    far = (GOLDEN * (1 << 20)) % 1.0
+    return F.pmod(F.shiftright(slot, 20) * F.lit(far) + F.pmod(slot, F.lit(1 << 20)) * F.lit(GOLDEN), F.lit(1.0))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, block: int = 1024, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The mix as two tables.
+def schedule(goal: DataFrame, n: int) -> DataFrame:
+    """``goal``: place, quota. slot, place, rank, last: the first ``n`` slots.
 
-    Documents: rid, doc_id, source, k1, size, source_size, target, first, second: the words of
-    the document that the first and the second round over its source take, from its start.
-    Slots: slot, place, source, rank, take: the schedule in order, with the words of each slot's
-    block (a source's late additions have slots after all others).
+    Points and stretches meet by cell. A cell holds its share of the points, so with as many cells
+    as sources the pairs tried are in proportion to the slots, wherever the sources' ends crowd.
+    """
+    spark = goal.sparkSession
+    # the place of a stretch isn't needed for its order: any order of the sources will do
+    ends = stage(running(goal.filter("quota > 0").select("place", "quota"), ["place"], {"lo": "quota"}, "mix-ladder"), "mix-ends")
+    words, sources = ends.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count(F.lit(1))).first()
+    cells, scale = max(CELLS, sources), F.lit(float(max(words, 1)))
+    ends = ends.select("place", (F.col("lo") / scale).alias("lo"), ((F.col("lo") + F.col("quota")) / scale).alias("hi"))
+    cell = lambda u: F.least(F.floor(u * F.lit(float(cells))), F.lit(cells - 1))
+    pieces = ends.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+    drawn = spark.range(n).select(F.col("id").alias("slot"), points(F.col("id")).alias("u"))
+    drawn = drawn.withColumn("cell", cell(F.col("u"))).join(pieces, "cell").filter((F.col("lo") <= F.col("u")) & (F.col("u") < F.col("hi")))
+    ranked = stage(running(drawn.select("slot", "place"), ["place", "slot"], {"nth": F.lit(1)}, "mix-drawn"), "mix-slots")
+    counts = ranked.groupBy("place").agg(F.min("nth").alias("first"), F.max("nth").alias("end"))
+    return ranked.join(counts, "place").select("slot", "place", (F.col("nth") - F.col("first")).alias("rank"), (F.col("nth") == F.col("end")).alias("last"))
+
+
+def block_words(goal: DataFrame, block: int | None) -> tuple[int, int]:
+    """Words of a block, and the number of slots that the quotas of ``goal`` need."""
+    words, least = goal.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.min(F.when(F.col("quota") > 0, F.col("quota")))).first()
+    block = block or max(1, min(BLOCK, max((least or 0) // FINE, words // SLOTS)))
+    return block, -(-words // block)
+
+
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, block: int | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rid: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mix as three tables.
+
+    Documents: rid, doc_id, source, size, source_size, target.
+    Slots: slot, place, rank, round, blk, take: the schedule in order, with the block that each
+    takes and the words of it.
+    Shares: rid, round, words, slot, size: what a document gives in a round, from its start, and
+    the first slot that takes any of it.
     """
+    if not 0 < most <= 2:
+        raise ValueError("most must be over 0 and at most 2: a source is gone round twice")
     size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("k1"))
+    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col(source_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("k1"), (F.monotonically_increasing_id() if rid is None else rid).alias("rid"))
     # ids and order are written once: later steps and reruns of tasks see the same ones
-    rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "mix-documents")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    goal = stage(targets(sizes, weights=weights, total=total, most=most).withColumn("quota", F.round("target").cast("long")), "mix-targets")
-    few = goal.select("place", "source", "source_size", "n_docs", "target", "quota")
-    same = rows["source"].eqNullSafe(few["source"])
-    placed = rows.join(F.broadcast(few) if few.count() <= 100_000 else few, same).drop(rows["source"])
-    # a bucket holds about a thousand rows, whatever the sizes of the table and of the source
-    placed = placed.withColumn("bucket", F.pmod(F.col("k1"), F.ceil(F.col("n_docs") / 1024)))
-    placed = _positions(placed, ["place"], ["k1", "doc_id", "rid"], "bucket", "size", "begin")
-    placed = stage(placed, "mix-positions")
-
-    sums = few.agg(F.sum("quota").alias("n")).first()[0] or 0
-    slots = _slots(few, int(sums), block)
-    # rounds over a source: slot r takes block r mod blocks
-    n_blocks = F.ceil(F.col("source_size") / block)
-    use = slots.withColumns({"blk": F.pmod(F.col("rank"), n_blocks), "round": F.floor(F.col("rank") / n_blocks)})
-    taken = use.groupBy("place", "blk").agg(
-        F.sum(F.when(F.col("round") == 0, F.col("take")).otherwise(0)).alias("take0"),
-        F.sum(F.when(F.col("round") == 1, F.col("take")).otherwise(0)).alias("take1"),
-    )
-    pieces = placed.filter("size > 0").select("rid", "place", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("blk"))
-    taken = stage(taken, "mix-blocks")
-    part = lambda take: F.greatest(F.lit(0), F.least(F.col("begin") + F.col("size"), F.col("blk") * block + F.col(take)) - F.greatest("begin", F.col("blk") * block))
-    per_doc = pieces.join(taken, ["place", "blk"]).groupBy("rid").agg(F.sum(part("take0")).alias("first"), F.sum(part("take1")).alias("second"))
-    out = placed.join(per_doc, "rid", "left").select("rid", "doc_id", "source", "k1", "size", "source_size", "target", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("second", F.lit(0)).alias("second"))
-    return out, slots.select("slot", "place", "source", "rank", "take")
-
-
-def _slots(few: DataFrame, total: int, block: int) -> DataFrame:
-    """The schedule; rank and words of each slot within its source's quota."""
-    spark = few.sparkSession
-    n = -(-total // block)
-    everything = Window.orderBy("place")
-    ends = few.withColumn("hi", F.sum("quota").over(everything)).withColumn("lo", F.col("hi") - F.col("quota"))
-    ends = ends.filter("quota > 0").select("place", (F.col("lo") / F.lit(float(max(total, 1)))).alias("lo"), (F.col("hi") / F.lit(float(max(total, 1)))).alias("hi"))
-    ladder = ends.agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "place"))).alias("ladder"))
-    point = F.pmod(F.shiftright("slot", 20) * F.lit(GOLDEN_20) + F.pmod("slot", F.lit(1 << 20)) * F.lit(GOLDEN), F.lit(1.0))
-    wide = spark.range(0, n).select(F.col("id").alias("slot"), point.alias("u"))
-    # one row with the ladder of sources (as many as there are sources), sent to every task
-    wide = wide.join(F.broadcast(ladder)).withColumn("place", _find(F.col("ladder"), F.col("u")))
-    drawn = wide.select("slot", "place", F.floor(F.col("slot") / 4096).alias("bucket"), F.lit(1).cast("long").alias("one"))
-    drawn = _positions(drawn, ["place"], ["slot"], "bucket", "one", "rank").drop("one")
-    counts = stage(drawn.groupBy("place").agg(F.count(F.lit(1)).alias("n")), "slot-counts")
-    goal = few.join(counts, "place", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    # slots a full quota needs: each round over the source has ceil(size / block) blocks
-    blocks = F.ceil(F.col("source_size") / block)
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size"))).otherwise(0)
-    need = F.coalesce(rounds * blocks + F.ceil((F.col("quota") - rounds * F.col("source_size")) / block), F.lit(0))
-    short = goal.withColumn("need", need).filter("need > n").select("place", F.explode(F.sequence("n", F.col("need") - 1)).alias("rank"))
-    late = short.select((F.lit(n) + F.row_number().over(Window.orderBy("place", "rank")) - 1).alias("slot"), "place", "rank")
-    slots = drawn.select("slot", "place", "rank").unionByName(late).join(F.broadcast(few), "place")
-    at = F.floor(F.col("rank") / F.ceil(F.col("source_size") / block)) * F.col("source_size") + F.pmod(F.col("rank"), F.ceil(F.col("source_size") / block)) * block
-    in_block = F.least(F.lit(block), F.col("source_size") - F.pmod(F.col("rank"), F.ceil(F.col("source_size") / block)) * block)
-    take = F.greatest(F.lit(0), F.least(in_block, F.col("quota") - at))
-    return slots.withColumn("take", take).filter("take > 0")
-
-
-def _find(ladder: Column, u: Column) -> Column:
-    inside = F.filter(ladder, lambda s: (s["lo"] <= u) & (u < s["hi"]))
-    return F.coalesce(F.get(inside, 0)["place"], F.element_at(ladder, -1)["place"])
+    rows = stage(rows, "mix-documents")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = targets(stage(sizes, "mix-sizes"), weights=weights, total=total, most=most)
+    goal = stage(goal.withColumn("quota", F.round("target").cast("long")), "mix-targets")
+    block, n = block_words(goal, block)
+
+    placed = rows.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    placed = placed.select("rid", "doc_id", "source", "k1", "size", "place", "source_size", "target")
+    placed = stage(running(placed, ["place", "k1", "doc_id", "rid"], {"begin": "size"}, "mix-shuffled"), "mix-positions")
+    bases = placed.groupBy("place").agg(F.min("begin").alias("base"))
+
+    blocks = F.ceil(F.col("source_size") / F.lit(block))
+    slots = schedule(goal.select("place", "quota"), n).join(goal.select("place", "source_size", "quota"), "place")
+    slots = slots.withColumns({"blk": F.pmod("rank", blocks), "round": F.floor(F.col("rank") / blocks)}).filter("round < 2")
+    whole = F.least(F.lit(block), F.col("source_size") - F.col("blk") * block)
+    left = F.col("quota") - F.col("round") * F.col("source_size") - F.col("blk") * block
+    take = F.when(F.col("last"), F.least(whole, F.greatest(F.lit(0), left))).otherwise(whole)
+    slots = stage(slots.withColumn("take", take).filter("take > 0").select("slot", "place", "rank", "round", "blk", "take"), "mix-schedule")
+
+    pieces = placed.filter("size > 0").join(bases, "place").withColumn("begin", F.col("begin") - F.col("base"))
+    spans = F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))
+    pieces = pieces.select("rid", "place", "begin", "size", F.explode(spans).alias("blk"))
+    start = F.col("blk") * block
+    part = F.least(F.col("begin") + F.col("size"), start + F.col("take")) - F.greatest("begin", start)
+    met = pieces.join(slots, ["place", "blk"]).withColumn("part", part).filter("part > 0")
+    shares = met.groupBy("rid", "round").agg(F.sum("part").alias("words"), F.min("slot").alias("slot"), F.max("size").alias("size"))
+    return placed.select("rid", "doc_id", "source", "size", "source_size", "target"), slots, shares
 
 
 def mixing(docs: DataFrame, **options) -> DataFrame:
@@ -141,34 +152,32 @@ def mixing(docs: DataFrame, **options) -> DataFrame:
 
     Sources in code point order, null last, have the weights in turn and share ``total`` times all
     words; a target stops at ``most`` (at most 2) times its source's size and the excess goes to
-    the others by weight. Defined cases: null or empty texts have size 0 and nothing taken; null
+    the others by weight. A source's taken words miss its target by a few blocks at most, by the
+    discrepancy of the schedule; a block has ``block`` words, by default a 1024th of the smallest
+    target, within limits. Defined cases: null or empty texts have size 0 and nothing taken; null
     sources are one source; repeated rows count each; ties in the shuffle are broken by id; a
     source without words has target 0; an empty table gives no rows; other columns are ignored.
     """
-    rows, _ = mix(docs, **options)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).cast("long").alias("taken"))
+    rows, _, shares = mix(docs, **options)
+    taken = shares.groupBy("rid").agg(F.sum("words").alias("taken"))
+    return rows.join(taken, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix, all columns kept: one row for each round that takes any words.
+def mixed(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, slot_col: str | None = None, **options) -> DataFrame:
+    """The documents of the mix in slot order: one row for each round that takes any words.
 
-    A document taken in part (one at most a source and round) is cut after its last taken word.
+    All columns are kept, and ``slot_col``, if given, is the first slot that takes of the row. A
+    document taken in part (one at most a source and round) is cut after its last taken word.
     """
-    seed = options.get("seed", 7)
-    rows, _ = mix(docs, id_col=id_col, text_col=text_col, **options)
-    rows = rows.groupBy("doc_id", "k1", "source").agg(F.collect_list(F.struct("first", "second", "size")).alias("all"))
-    names = {"k1": "_tm_k1", "doc_id": "_tm_id", "source": "_tm_source", "all": "_tm_all"}
-    rows = rows.select(*[F.col(a).alias(b) for a, b in names.items()])
-    own = docs.withColumn("_tm_own", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
-    # repeated rows share a key: the n-th of them takes the n-th of its key's shares
-    nth = Window.partitionBy("_tm_own", F.col(id_col)).orderBy(F.lit(1))
-    own = own.withColumn("_tm_nth", F.row_number().over(nth))
-    on = (F.col("_tm_own") == F.col("_tm_k1")) & F.col(id_col).eqNullSafe(F.col("_tm_id"))
-    got = own.join(rows, on).withColumn("_tm_one", F.element_at("_tm_all", F.col("_tm_nth")))
-    got = got.withColumn("_tm_take", F.explode(F.array("_tm_one.first", "_tm_one.second"))).filter("_tm_take > 0")
+    own = stage(docs.withColumn("_tm_rid", F.monotonically_increasing_id()), "mix-rows")
+    _, _, shares = mix(own, text_col=text_col, rid=F.col("_tm_rid"), **options)
+    names = {"rid": "_tm_rid", "words": "_tm_words", "slot": "_tm_slot", "round": "_tm_round"}
+    shares = shares.select(*[F.col(a).alias(b) for a, b in names.items()], (F.col("words") < F.col("size")).alias("_tm_cut"))
+    got = own.join(shares, "_tm_rid").orderBy("_tm_slot", "_tm_rid", "_tm_round")
     head = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.col("_tm_take") < F.col("_tm_one.size")
-    got = got.withColumn(text_col, F.when(cut, F.array_join(F.slice(head, 1, F.col("_tm_take").cast("int")), "")).otherwise(F.col(text_col)))
+    cut = F.array_join(F.slice(head, 1, F.col("_tm_words").cast("int")), "")
+    got = got.withColumn(text_col, F.when(F.col("_tm_cut"), cut).otherwise(F.col(text_col)))
     if length_col:
-        got = got.withColumn(length_col, F.when(cut, F.char_length(text_col).cast("long")).otherwise(F.col(length_col)))
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns])
+        got = got.withColumn(length_col, F.when(F.col("_tm_cut"), F.char_length(text_col).cast("long")).otherwise(F.col(length_col)))
+    found = [F.col(f"`{c}`") for c in docs.columns]
+    return got.select(*found, *([F.col("_tm_slot").alias(slot_col)] if slot_col else []))
