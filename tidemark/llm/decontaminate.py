@@ -1,10 +1,11 @@
 """Benchmark decontamination by a hash set of normalised n-grams.
 
 The windows of the benchmark are hashed; every window of every training document is hashed in
-the same way, exploded and probed against that set within one generated-code stage, so only hits
-are ever materialised; the words of a hit are compared with the window's before it counts. The
-set is broadcast only if its window count is at most ``BROADCAST_WINDOWS``; beyond, the same join
-runs as a shuffled one.
+the same way, exploded and probed against the set of hashes within one generated-code stage, so
+only hits are ever materialised, with the words that stand there; a hit counts once its words are
+found among the benchmark's windows. The set holds one long a window and is broadcast up to
+``BROADCAST_BYTES``; beyond, the probes, which are a few longs each and carry no text, go through a
+shuffled join, and hits get their words from the texts afterwards.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ._common import let, lower_ascii, row_key, stage, text_of
 
-BROADCAST_WINDOWS = 2_000_000
+#: The set of hashes is broadcast up to this size; each takes some ``HASH_BYTES`` there.
+BROADCAST_BYTES, HASH_BYTES = 64 << 20, 32
 
 
 #: What lies between words, in text that isn't lower-cased.
@@ -46,37 +48,44 @@ def _hashes(w: Column, sizes: list[int]) -> Column:
     return F.array(*[of(n) for n in sizes])
 
 
-def windows(bench: DataFrame, *, n: int = 8, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows: h, n, window (its words), items (sorted ids as strings)."""
+def windows(bench: DataFrame, *, n: int = 8, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Distinct windows: wid, h, n, window (its words); and which items have them: wid, item."""
     w = bench.select(F.col(item_col).cast("string").alias("item"), words(text_of(text_col)).alias("w")).filter(F.size("w") > 0)
-    w = w.withColumn("len", F.least(F.size("w"), F.lit(n)))
-    w = w.select("item", "w", "len", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("at"))
-    w = w.select("item", "len", F.slice("w", F.col("at") + 1, F.col("len")).alias("window"))
-    w = w.groupBy(F.col("len").alias("n"), "window").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    w = w.withColumn("wh", word_hashes(F.col("window")))
+    w = w.withColumn("n", F.least(F.size("w"), F.lit(n)))
+    w = w.select("item", "w", "n", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"))).alias("at"))
+    pairs = stage(w.select("item", "n", F.slice("w", F.col("at") + 1, F.col("n")).alias("window")).distinct(), "benchmark-pairs")
+    wins = pairs.select("n", "window").distinct().withColumn("wh", word_hashes(F.col("window")))
     hashed = F.when(F.lit(False), F.lit(0).cast("long"))
     for k in range(1, n + 1):
         hashed = hashed.when(F.col("n") == k, _hash(F.col("wh"), F.lit(0), k))
-    return w.select(hashed.alias("h"), "n", "window", "items")
+    wins = stage(wins.select(F.monotonically_increasing_id().alias("wid"), hashed.alias("h"), "n", "window"), "benchmark-windows")
+    items = pairs.filter("item is not null").join(wins, ["n", "window"]).select("wid", "item")
+    return wins, items
 
 
 def hits(docs: DataFrame, bench: DataFrame, *, n: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
-    """Per document with verified hits: k1, k2, at (sorted word positions), items."""
-    wins = stage(windows(bench, n=n, item_col=item_col, text_col=bench_text_col), "benchmark-windows")
-    sizes = sorted(r[0] for r in wins.select("n").distinct().collect())  # at most n values
-    if wins.count() <= BROADCAST_WINDOWS:
-        wins = F.broadcast(wins)
+    """Per document with verified hits: k1, k2, at (sorted word positions), items (sorted ids as strings)."""
+    wins, items = windows(bench, n=n, item_col=item_col, text_col=bench_text_col)
+    sizes = sorted(r[0] for r in wins.select("n").distinct().collect()) or [n]  # at most n values
     split = docs.select(*row_key(id_col, text_col), words(text_of(text_col)).alias("w"))
-    probes = split.select("k1", "k2", "w", F.explode(let(word_hashes(F.col("w")), lambda h: _hashes(h, sizes or [n]))).alias("hs"))
+    probes = split.select("k1", "k2", "w", F.posexplode(let(word_hashes(F.col("w")), lambda h: _hashes(h, sizes))).alias("s", "hs"))
     # one long each: no row is built for a window before its hash was found
-    probes = probes.select("k1", "k2", "w", F.posexplode("hs").alias("at", "h"))
-    same = F.slice("w", F.col("at") + 1, F.col("n")) == F.col("window")
-    found = probes.join(wins, "h").filter(same)
-    found = found.select("k1", "k2", F.sequence("at", F.col("at") + F.col("n") - 1).alias("at"), "items")
-    return found.groupBy("k1", "k2").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("at"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+    probes = probes.select("k1", "k2", "w", "s", F.posexplode("hs").alias("at", "h"))
+    hashes = wins.select("h").distinct()
+    there = F.slice("w", F.col("at") + 1, F.element_at(F.array(*map(F.lit, sizes)), F.col("s") + 1)).alias("there")
+    if hashes.count() * HASH_BYTES <= BROADCAST_BYTES:
+        met = probes.join(F.broadcast(hashes), "h", "left_semi").select("k1", "k2", "at", "h", there)
+    else:
+        met = stage(probes.select("k1", "k2", "s", "at", "h").join(hashes, "h", "left_semi"), "window-hits")
+        met = met.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "at", "h")).alias("met"))
+        met = split.join(met, ["k1", "k2"]).select("k1", "k2", "w", F.inline("met")).select("k1", "k2", "at", "h", there)
+    found = met.join(wins, "h").filter(F.col("there") == F.col("window")).select("k1", "k2", "at", "n", "wid")
+    found = stage(found, "verified-hits")
+    at = found.select("k1", "k2", F.sequence("at", F.col("at") + F.col("n") - 1).alias("at")).groupBy("k1", "k2")
+    at = at.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("at"))
+    held = found.select("k1", "k2", "wid").distinct().join(items, "wid").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    none = F.array().cast("array<string>")
+    return at.join(held, ["k1", "k2"], "left").select("k1", "k2", "at", F.coalesce("items", none).alias("items"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, *, n: int = 8, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
