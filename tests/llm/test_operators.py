@@ -106,6 +106,39 @@ def test_secrets_fixed_and_ownership(spark):
     assert f"live:{bare}:{bare + 17}" in got[20].live and got[1].live
 
 
+def _owned(spark, rows):
+    got = secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))
+    return {r.doc_id: (r.live, r.n_example) for r in got.select("doc_id", secret_scan.joined(F.col("live")).alias("live"), "n_example").collect()}
+
+
+def test_secrets_ownership_by_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source", "lang").collect()]
+    got, want = _owned(spark, rows), brute.owned_secrets(rows)
+    assert got == want and any(v[0] for v in want.values())
+
+
+def test_secrets_ownership_random(spark):
+    rnd = random.Random(2)
+    values = ["".join(rnd.choice("abcdefgh0123456789") for _ in range(rnd.choice([9, 12, 13, 20, 33]))) for _ in range(25)] + ["example0value0here", "a=b=c0d1e2f3g4h5=="]
+    forms = ["password={}", "id={}", "see {}.", "{}...", "'{}'", "x/{}", "Token: \"{}\" 😀", "api_key = {}==", "{}", "é{}é", "secret=....{}", "passwd=========", "token=a=......"]
+    rows = [(i, " ".join(rnd.choice(forms).format(rnd.choice(values)) for _ in range(rnd.randint(0, 6))), rnd.choice(["s", "t", "u", "v", None]), rnd.choice(["en", "de", None])) for i in range(150)]
+    got, want = _owned(spark, rows), brute.owned_secrets(rows)
+    assert got == want and any(v[1] for v in want.values()) and any(v[0] for v in want.values())
+
+
+def test_secrets_in_many_repositories_are_examples(spark):
+    same = [(i, "password=q1w2e3r4t5y6u7", "one owner", f"lang{i}") for i in range(6)]
+    assert _owned(spark, same) == {i: ("", 1) for i in range(6)}
+    assert _owned(spark, same[:4]) == {i: ("live:9:23", 0) for i in range(4)}
+
+
+def test_secrets_many_in_one_document(spark):
+    """Work in proportion to the matches."""
+    text = " ".join(f"token=k{i:07d}qwerty" for i in range(40_000))
+    out = secret_scan.secret_scan(frame(spark, [(1, text, "en", "s", 0)])).first()
+    assert len(out.base) == len(out.live) == 40_000 and out.base[-1].end == len(text)
+
+
 def test_secrets_odd(spark, odd):
     out = secret_scan.secret_scan(odd).collect()
     assert len(out) == 10 and [len(r.base) for r in out if r.doc_id == 7] == [1]
@@ -306,53 +339,103 @@ def test_token_output_odd(spark, odd, monkeypatch):
     assert token_output.token_output(odd.limit(0), queries.vocabulary()).collect() == []
 
 
-def _check_mix(rows, docs):
+def _check_mix(rows, docs, blocks=4, block=None):
+    """Sizes and targets to the word; taken words within ``blocks`` blocks of the target."""
     sizes = {i: len(brute.WORD.findall(t or "")) for i, t, _ in docs}
     source = {i: s for i, _, s in docs}
     by = {}
     for i, s in source.items():
         by[s] = by.get(s, 0) + sizes[i]
     want = brute.targets(by)
+    block = block or brute.block_words(want)
     took = {}
     for r in rows:
         assert r.size == sizes[r.doc_id] and r.source_size == by[source[r.doc_id]] and 0 <= r.taken <= 2 * r.size
         assert abs(r.target - want[source[r.doc_id]]) < 1e-6 * max(1, want[source[r.doc_id]])
         took[source[r.doc_id]] = took.get(source[r.doc_id], 0) + r.taken
-    assert all(abs(took[s] - want[s]) <= 1 for s in by), (took, want)
+    assert all(abs(took[s] - want[s]) <= 1 + blocks * block for s in by), (took, want, block)
+    return took, want
+
+
+def _keys(spark, rows, seed=7):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return {r.doc_id: r.k for r in df.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text", "source").alias("k")).collect()}
 
 
 def test_mixing(spark):
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     one, two = run("op8_mixing", spark), run("op8_mixing", spark)
-    _check_mix(one, rows)
+    took, want = _check_mix(one, rows)
+    assert all(abs(took[s] - want[s]) <= 0.01 * want[s] + 4 for s in want)
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+    assert {r.doc_id: r.taken for r in one} == brute.mix(rows, _keys(spark, rows))
 
 
-def test_mixing_small_blocks_and_schedule(spark):
+@pytest.fixture(scope="module")
+def uneven():
     rnd = random.Random(1)
     rows = [(i, " ".join(["w"] * rnd.choice([0, 1, 3, 50, 400])), rnd.choice(["a", "a", "a", "b", "c", "d", "e", None])) for i in range(300)]
-    rows.append((999, None, "empty"))
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for block in (1, 64, 10_000):
-        _check_mix(mixing.mixing(df, block=block).collect(), rows)
-    docs, slots = mixing.mix(df, block=64)
-    total = docs.agg(F.sum(F.col("first") + F.col("second"))).first()[0]
+    return [*rows, (999, None, "empty")]
+
+
+@pytest.mark.parametrize("block", [None, 1, 64, 10_000])
+def test_mixing_by_brute_force(spark, uneven, block):
+    df = spark.createDataFrame(uneven, "doc_id long, text string, source string")
+    got = mixing.mixing(df, block=block).collect()
+    _check_mix(got, uneven, block=block)
+    assert {r.doc_id: r.taken for r in got} == brute.mix(uneven, _keys(spark, uneven), block=block)
+
+
+def test_mixing_depends_on_the_schedule(spark, uneven, monkeypatch):
+    """Another constant gives another mix, near the same targets; a useless one misses them."""
+    df = spark.createDataFrame(uneven, "doc_id long, text string, source string")
+    first = {r.doc_id: r.taken for r in mixing.mixing(df, block=64).collect()}
+    monkeypatch.setattr(mixing, "GOLDEN", 0.41421356237309515)
+    other = mixing.mixing(df, block=64).collect()
+    _check_mix(other, uneven, block=64)
+    assert {r.doc_id: r.taken for r in other} != first
+    assert {r.doc_id: r.taken for r in other} == brute.mix(uneven, _keys(spark, uneven), block=64, step=mixing.GOLDEN)
+    monkeypatch.setattr(mixing, "GOLDEN", 0.0)
+    with pytest.raises(AssertionError):
+        _check_mix(mixing.mixing(df, block=64).collect(), uneven, block=64)
+
+
+def test_mixing_schedule_is_even(spark, uneven):
+    df = spark.createDataFrame(uneven, "doc_id long, text string, source string")
+    _, slots, shares = mixing.mix(df, block=64)
     got = slots.orderBy("slot").collect()
-    assert sum(r.take for r in got) == total and len({r.slot for r in got}) == len(got)
+    assert sum(r["take"] for r in got) == shares.agg(F.sum("words")).first()[0] and len({r.slot for r in got}) == len(got)
     # any stretch of the schedule is near the weights
-    share = {}
-    for r in got:
-        share[r.place] = share.get(r.place, 0) + r.take
-    half = {}
-    for r in got[: len(got) // 2]:
-        half[r.place] = half.get(r.place, 0) + r.take
-    assert all(abs(half.get(p, 0) - share[p] / 2) <= 64 * 6 for p in share)
+    share, half = {}, {}
+    for k, r in enumerate(got):
+        share[r.place] = share.get(r.place, 0) + r["take"]
+        half[r.place] = half.get(r.place, 0) + r["take"] * (k < len(got) // 2)
+    assert all(abs(half[p] - share[p] / 2) <= 64 * 3 for p in share)
+
+
+def test_mixing_many_sources(spark):
+    """Ten thousand sources, one with a third of the words; no broadcast by hint but the ranges'."""
+    rows = [(i, "w " * (1 + i % 7), f"s{i:05d}") for i in range(10_000)]
+    rows += [(20_000 + i, "v " * 10, "s00000") for i in range(1_500)]
+    got = mixing.mixing(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    _check_mix(got, rows, blocks=6)
+
+
+def test_mixing_equal_rows_in_different_sources(spark):
+    """Rows of one id and text in two sources, some repeated: each is taken as its own source asks."""
+    same = [(1, "a b c d", s) for s in ("x", "y", "x", None)] + [(2, "e f", "x"), (3, "g", "y")] + [(4, "h i j", "z")] * 500
+    df = spark.createDataFrame(same, "doc_id long, text string, source string")
+    want = mixing.mixing(df).agg(F.sum("taken")).first()[0]
+    out = mixing.mixed(df, slot_col="slot").collect()
+    assert sum(len(r.text.split()) for r in out) == want and [r.slot for r in out] == sorted(r.slot for r in out)
+    assert {r.source for r in out} == {"x", "y", "z", None}
 
 
 def test_mixed_texts(spark, odd):
     out = mixing.mixed(odd, length_col="n_chars")
     assert out.columns == odd.columns
     words = sum(len(brute.WORD.findall(r.text)) for r in out.collect())
+    assert all(r.n_chars == len(r.text) for r in out.collect())
     want = mixing.mixing(odd)
     assert words == want.agg(F.sum("taken")).first()[0] and want.count() == 10
     assert mixing.mixing(odd.limit(0)).collect() == [] and mixing.mixed(odd.limit(0)).collect() == []
@@ -369,8 +452,8 @@ def test_leaks_short_items_and_repeats(spark, monkeypatch):
     docs = [(1, "x A b, c d e f g h i j q R"), (2, "a b c d e f g"), (3, None), (4, ""), (5, "q r q r z"), (6, "a b c d e f g h " * 3), (7, "é z2 Z")]
     b = spark.createDataFrame(bench, "item_id long, text string")
     d = spark.createDataFrame(docs + [docs[0]], "doc_id long, text string")
-    for most in (1000, 0):
-        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
         out = queries_view(decontaminate.decontaminate(d, b))
         assert len(out) == 8 and {r[0]: r[1:] for r in out} == brute.leaks(docs, bench)
     left = {r.doc_id: r.text for r in decontaminate.remove(d, b).collect()}
@@ -378,6 +461,27 @@ def test_leaks_short_items_and_repeats(spark, monkeypatch):
     assert decontaminate.decontaminate(d.limit(0), b).collect() == [] and len(decontaminate.decontaminate(d, b.limit(0)).collect()) == 8
 
 
+def _written(spark):
+    """Shuffle bytes that all stages so far have written."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_leaks_shuffle_in_proportion_to_text(spark, monkeypatch, most):
+    """Long documents: what is shuffled grows with the text, not with its square."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+    rnd = random.Random(4)
+    rows = [(i, " ".join(f"w{rnd.randrange(50_000)}" for _ in range(5_000))) for i in range(6)]
+    bench = [(k, " ".join(rows[k][1].split()[100 * k : 100 * k + 12])) for k in range(6)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    before = _written(spark)
+    out = queries_view(decontaminate.decontaminate(d, b))
+    assert {r[0]: r[1:] for r in out} == brute.leaks(rows, bench)
+    assert _written(spark) - before < 8 * sum(len(r[1]) for r in rows)
+
+
 def queries_view(got):
     return [tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256), "contaminated").collect()]
 

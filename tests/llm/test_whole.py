@@ -10,24 +10,9 @@ from tests.llm.test_operators import SF, frame
 from tidemark.llm import exact_dedup, near_copies, toxicity
 
 
-def _similar_groups(rows, size=5, similarity=0.8):
-    """By brute force: id to the smallest id that it hangs together with."""
-    sets = {}
-    for i, t in rows:
-        words = t.lower().split()
-        sets[i] = {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
-    root = {i: i for i in sets}
-    for i in sorted(sets):
-        for j in sorted(sets):
-            if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
-                low, high = sorted((root[i], root[j]))
-                root = {k: low if r == high else r for k, r in root.items()}
-    return root
-
-
 def test_pipeline_near_duplicates_by_similarity(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    root = _similar_groups([(r.doc_id, r.text) for r in docs.collect()])
+    root = brute.similar([(r.doc_id, r.text) for r in docs.collect()])
     got = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert got.columns == docs.columns
     # 1 and 177: similarity 0.83, fingerprints 9 bits apart
@@ -47,7 +32,7 @@ def test_near_copies_large_group(spark, monkeypatch, chunk):
                 words[at] = f"x{rng.random()}"
             rows.append((rng.randrange(10**9), " ".join(words), "en", "s", 0))
     rows += [(1, "", "en", "s", 0), (2, " \n", "en", "s", 0), (3, "one word more", "en", "s", 0), (4, None, "en", "s", 0)]
-    root = _similar_groups([(r[0], r[1] or "") for r in rows])
+    root = brute.similar([(r[0], r[1] or "") for r in rows])
     got = near_copies.without_near_copies(frame(spark, rows))
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, r in root.items() if i == r)
     assert near_copies.without_near_copies(frame(spark, rows).limit(0)).collect() == []
