@@ -150,18 +150,17 @@ def test_urls(spark):
     more = [None, "", "no scheme", "http://COM/", "http://example.com/en/x?y", "x://WWW.Example.com/en/#a", "http://a.net/es/", "http://net", "http://net/fr/1", "http://xcom/", "http://m.www.example.com/en/", "http://example.com:80/en/", "a://b://com/", "http://\x01com/", "http://com?x=/"]
     rows = pages + [(10_000 + i, u) for i, u in enumerate(more)] + [(10_003, more[3])]
     rules = spark.createDataFrame(list(queries.URL_RULES), "host string, path string, verdict string")
-    for n in (1, 7):
-        out = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules, partitions=n).collect()
-        assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in out if r.rule) == sorted(x for x in ((i, *brute.url(u, queries.URL_RULES)) for i, u in rows) if x[3])
-        assert len(out) == len(rows) and all(r.verdict == "allow" for r in out if not r.rule)
+    out = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in out if r.rule) == sorted(x for x in ((i, *brute.url(u, queries.URL_RULES)) for i, u in rows) if x[3])
+    assert len(out) == len(rows) and all(r.verdict == "allow" for r in out if not r.rule)
 
 
 def test_urls_random_rules(spark):
     rnd = random.Random(3)
     host = lambda: ".".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4)))
-    rules = list({(h, p): (h, p, rnd.choice(["allow", "block"])) for h, p in ((host(), rnd.choice(["/", "/x", "/x/y", ""])) for _ in range(60))}.values())
-    urls = [(i, f"h://{host()}{rnd.choice(['/', '/x', '/x/y/z', '', '/q'])}") for i in range(500)]
-    out = url_filter.url_filter(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"), partitions=5).collect()
+    rules = list({(h, p): (h, p, rnd.choice(["allow", "block"])) for h, p in ((host(), rnd.choice(["/", "/x", "/x/y", "", "/xé", "/x/y/z/"])) for _ in range(90))}.values())
+    urls = [(i, f"h://{host()}{rnd.choice(['/', '/x', '/x/y/z', '', '/q', '/xé1', '/x/y/z/w', '/x\U0010ffff'])}") for i in range(700)]
+    out = url_filter.url_filter(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
     want = {}
     for i, u in urls:
         h, p, _, _ = brute.url(u, [])
@@ -174,6 +173,20 @@ def test_urls_random_rules(spark):
     assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string"), none.select("host", "path", "verdict")).collect() == []
 
 
+def test_urls_many_paths_on_one_host(spark):
+    """A host with 20,000 path rules, nested up to 30 deep, and most of the URLs."""
+    rules = [("big.com", "/p" + str(i), "block" if i % 2 else "allow") for i in range(20_000)] + [("big.com", "/deep" + "/a" * k, "block" if k % 2 else "allow") for k in range(30)]
+    urls = [(i, f"h://www.big.com/p{i}/x") for i in range(0, 25_000, 7)] + [(100_000 + k, "h://big.com/deep" + "/a" * k + "/b") for k in range(40)]
+    out = url_filter.url_filter(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    by = {h + p: v for h, p, v in rules}
+    want = {}
+    for i, u in urls:
+        text = "big.com/" + u.split("/", 3)[3]
+        fit = next((text[:n] for n in range(len(text), 8, -1) if text[:n] in by), None)
+        want[i] = (fit, by.get(fit, "allow"))
+    assert {r.page_id: (r.rule, r.verdict) for r in out} == want
+
+
 def test_simhash(spark, docs):
     fps = {i: brute.fingerprint(t) for i, t in docs}
     want = brute.near(fps)

@@ -15,10 +15,10 @@ table that grows with the sources is broadcast by hint.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, stage, text_of
+from ._common import WORD, running, stage, text_of
 
 #: The golden ratio's fraction (fixed value).
 GOLDEN = 0.6180339887498949
@@ -31,24 +31,6 @@ BLOCK, FINE, SLOTS = 1024, 1024, 1 << 20
 CELLS = 4096
 
 
-def running(rows: DataFrame, order: list[Column | str], amounts: dict[str, Column | str], name: str) -> DataFrame:
-    """Adds, for each of ``amounts``, the sum over the rows that come before in ``order``.
-
-    Rows are cut into ranges, written once, and summed by range; the table of ranges has a row for
-    each partition, so its own running sum and its broadcast are bounded by their number.
-    """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    added = {f"_amount_{k}": F.col(c) if isinstance(c, str) else c for k, c in amounts.items()}
-    ranged = stage(rows.withColumns(added).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), name)
-    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("_range").agg(*[F.sum(c).alias(c) for c in added])
-    bases = sums.select("_range", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"_base{c}") for c in added])
-    near = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = ranged.withColumns({f"_in{c}": F.coalesce(F.sum(c).over(near), F.lit(0)) for c in added})
-    out = inner.join(F.broadcast(bases), "_range")
-    return out.select(*rows.columns, *[(F.col(f"_base_amount_{k}") + F.col(f"_in_amount_{k}")).alias(k) for k in amounts])
-
-
 def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
     """``sizes``: source, source_size. Adds place, weight and target.
 
