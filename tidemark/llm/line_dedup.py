@@ -37,7 +37,8 @@ def repeated_lines(
     """
     lines = docs.select(*row_key(id_col, text_col), F.posexplode(_lines(text_of(text_col))).alias("pos", "line"))
     lines = lines.withColumn("line", line_key(F.col("line"))).filter(F.char_length("line") >= min_chars)
-    lines = lines.select(F.unhex(F.md5("line")).alias("h"), "k1", "k2", "pos")
+    # written first: the ranges are found by a sample of these, not by splitting all texts again
+    lines = stage(lines.select(F.unhex(F.md5("line")).alias("h"), "k1", "k2", "pos"), "line-hashes")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = lines.repartitionByRange(n, "h", "k1", "k2").sortWithinPartitions("h", "k1", "k2", "pos")
     in_doc = Window.partitionBy("h", "k1", "k2").orderBy("pos")
