@@ -111,8 +111,9 @@ def _pairs(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
 
 def links(fps: DataFrame, *, bits: int = 4) -> DataFrame:
     """``fps``: distinct fp. Edges a, b whose components are those of all pairs within ``bits``."""
-    if not 0 <= bits <= 4:
-        raise ValueError("bits must be 0 to 4: two segments with balls of radius 1 find no more")
+    if bits not in (0, 2, 4):
+        # two segments with balls of radius 1 find no more, and centres need an even distance
+        raise ValueError("bits must be 0, 2 or 4")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +171,6 @@ def links(fps: DataFrame, *, bits: int = 4) -> DataFrame:
             last = (int(key[-1]), int(fp[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
 
-    # odd bits: centres of radius bits // 2 leave the pairs at exactly ``bits`` to one more test
-    if bits % 2:
-        raise ValueError("bits must be even where a key is too full to pair")
     near = dense.mapInArrow(balls, "key long, fp long").repartition(n, "key").sortWithinPartitions("key")
     return pairs.union(near.mapInArrow(chain, "a long, b long"))
 
