@@ -332,6 +332,42 @@ def test_tokens_unusual_texts():
         assert w.encode(t) == np.array(ids[:-1], dtype="<u4").tobytes()
 
 
+def test_tokens_other_vocabulary(tmp_path):
+    """A file that normalises otherwise isn't cut by this one's rules."""
+    import json
+
+    doc = json.load(open(queries.vocabulary()))
+    doc["normalizer"] = {"type": "NFC"}
+    path = str(tmp_path / "other.json")
+    json.dump(doc, open(path, "w"))
+    assert token_output.cut_here(queries.vocabulary()) and not token_output.cut_here(path)
+    from tokenizers import Tokenizer
+
+    own, text = token_output.WordBpe(path), "It's UPPER  and\tlower 12"
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert own.encode(text) == np.array(want, dtype="<u4").tobytes() != token_output.WordBpe(queries.vocabulary()).encode(text)
+
+
+def test_tokens_small_cache(monkeypatch):
+    monkeypatch.setattr(token_output.WordBpe, "CACHE_BYTES", 500)
+    w = token_output.WordBpe(queries.vocabulary())
+    texts = [" ".join(f"word{i * k} ä{i}" for i in range(9)) for k in range(20)]
+    for t, ids in zip(texts, _tokens(texts), strict=True):
+        assert w.encode(t) == np.array(ids[:-1], dtype="<u4").tobytes()
+    assert len(w.plain) < 40
+
+
+def test_token_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        token_output.token_output(spark.createDataFrame([("a", "b")], "doc_id string, text string"), queries.vocabulary())
+
+
+@pytest.mark.parametrize("bits", [-2, 1, 3, 5, 6])
+def test_links_refuse_other_distances(spark, bits):
+    with pytest.raises(ValueError, match="bits"):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), bits=bits)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_simple8b_round_trip(seed):
     rng = np.random.default_rng(seed)

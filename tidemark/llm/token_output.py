@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import json
 import re
 import struct
 import uuid
@@ -30,6 +31,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import new_path, shared_dir, stage
 
@@ -186,13 +188,31 @@ def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+#: The parts of a vocabulary file for which pieces may be cut here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def cut_here(path: str) -> bool:
+    """Whether the vocabulary file normalises and cuts as :class:`WordBpe` does."""
+    with open(path, encoding="utf-8") as f:
+        doc = json.load(f)
+    parts = doc.get("normalizer") == NORMALIZER and doc.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+    model = all(doc.get("model", {}).get(k) == v for k, v in MODEL.items())
+    added = all("<|" in t["content"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in doc.get("added_tokens", []))
+    return parts and model and added and not (doc.get("truncation") or doc.get("post_processor"))
+
+
 class WordBpe:
     """The ids that the tokenizers library gives, with its work done once a piece.
 
     For vocabularies whose normaliser is NFC, white space to one space, lower case, and whose
-    pre-tokenizer takes the pieces of ``PIECES`` and drops white space. Texts of ASCII and Latin-1
+    pre-tokenizer takes the pieces of ``PIECES`` and drops white space: texts of ASCII and Latin-1
     letters are cut here, where Python's classes are the library's; other texts are cut at the
-    contract's white space only and each chunk goes through the library whole.
+    contract's white space only and each chunk goes through the library whole. With any other
+    vocabulary every text goes through the library whole.
     """
 
     #: The pre-tokenizer's alternatives over ASCII and Latin-1, after lower-casing.
@@ -205,17 +225,21 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        with contextlib.suppress(AttributeError):  # not in all versions
-            self.model._resize_cache(0)  # pieces come once; what repeats is cached here
+        self.cut_here = cut_here(path)
+        if self.cut_here:
+            with contextlib.suppress(AttributeError):  # not in all versions
+                self.model._resize_cache(0)  # pieces come once; what repeats is cached here
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         other = [b for b in range(256) if b not in shown]
         self.signs = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(other)}
         self.plain: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = {id(c): 0 for c in (self.plain, self.chunks, self.pieces)}
 
-    #: Entries of a cache before it starts anew; what bounds a worker's memory.
-    LIMIT = 500_000
+    #: Bytes of a cache, about, before it starts anew: what bounds a worker's memory, whatever the
+    #: pieces are. ``ENTRY`` is what a key and its ids take besides their own bytes.
+    CACHE_BYTES, ENTRY = 64 << 20, 180
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
@@ -231,18 +255,24 @@ class WordBpe:
     def _joined(self, parts: list[str], cache: dict[str, bytes], encode) -> bytes:
         found = list(map(cache.get, parts))
         if None in found:
-            if len(cache) >= self.LIMIT:
+            held = self.held[id(cache)]
+            if held >= self.CACHE_BYTES:
                 cache.clear()
+                held = 0
             for i, got in enumerate(found):
                 if got is None:
                     p = parts[i]
                     found[i] = cache.get(p)
                     if found[i] is None:
                         found[i] = cache[p] = encode(p)
+                        held += self.ENTRY + len(p) + len(found[i])
+            self.held[id(cache)] = held
         return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         """All ids of the text, little-endian u32."""
+        if not self.cut_here:
+            return self._chunk(text)
         if "<|" not in text and self.PLAIN.fullmatch(text):
             # in such a text split() finds no other white space than the contract's
             return self._joined(text.lower().split(), self.plain, self._plain)
@@ -273,6 +303,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int =
     them, ties by the text; a task writes its shards under names of its own and moves them into
     place, so a task that runs twice leaves the same files.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer column: the files hold ids as 64-bit integers")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
@@ -281,8 +313,6 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        gc.disable()  # the caches hold no cycles, and walking them takes long
-
         words, part = tokenizer(vocabulary), TaskContext.get().partitionId()
         fs, base = _filesystem(folder)
         fs.create_dir(base, recursive=True)
@@ -297,18 +327,24 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int =
             fs.move(temporary, f"{base}/{name}")
             return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "name": name, "n_docs": len(doc_ids), "n_ids": total}])
 
-        for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                got = words.encode(text.as_py()) + end
-                ids.append(got)
-                doc_ids.append(doc_id)
-                sizes.append(len(got) // 4)
-                total += len(got) // 4
-                if total >= SHARD_IDS:
-                    yield close()
-                    ids, doc_ids, sizes, total, shard = [], [], [], 0, shard + 1
-        if doc_ids:
-            yield close()
+        was_on = gc.isenabled()
+        gc.disable()  # the caches hold no cycles, and walking them takes long
+        try:
+            for b in batches:
+                for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                    got = words.encode(text.as_py()) + end
+                    ids.append(got)
+                    doc_ids.append(doc_id)
+                    sizes.append(len(got) // 4)
+                    total += len(got) // 4
+                    if total >= SHARD_IDS:
+                        yield close()
+                        ids, doc_ids, sizes, total, shard = [], [], [], 0, shard + 1
+            if doc_ids:
+                yield close()
+        finally:
+            if was_on:
+                gc.enable()  # the worker is used again
 
     return stage(rows.mapInArrow(run, "part long, shard long, name string, n_docs long, n_ids long"), "token-shards")
 
@@ -345,8 +381,8 @@ def token_output(docs: DataFrame, vocabulary: str, *, folder: str | None = None,
 
     ``start`` counts the ids of all documents before; each document ends with ``end_id``. Defined
     cases: a null or empty text is the end id alone; null ids come first; repeated ids each
-    return, ordered by text; very long texts stay in one shard; an empty table gives no rows and
-    no files; other columns are ignored. ``folder`` defaults to a new one under the shared folder.
+    return, ordered by text; ids that aren't integers are refused; very long texts stay in one
+    shard; an empty table gives no rows and no files; other columns are ignored. ``folder`` defaults to a new one under the shared folder.
     """
     spark = docs.sparkSession
     if folder is None:
