@@ -74,7 +74,8 @@ def schedule(goal: DataFrame, n: int) -> DataFrame:
     drawn = spark.range(n).select(F.col("id").alias("slot"), points(F.col("id")).alias("u"))
     drawn = drawn.withColumn("cell", cell(F.col("u"))).join(pieces, "cell").filter((F.col("lo") <= F.col("u")) & (F.col("u") < F.col("hi")))
     ranked = stage(running(drawn.select("slot", "place"), ["place", "slot"], {"nth": F.lit(1)}, "mix-drawn"), "mix-slots")
-    counts = ranked.groupBy("place").agg(F.min("nth").alias("first"), F.max("nth").alias("end"))
+    # tables of sources are written: with their size known, none shuffles slots or rows by source
+    counts = stage(ranked.groupBy("place").agg(F.min("nth").alias("first"), F.max("nth").alias("end")), "mix-counts")
     return ranked.join(counts, "place").select("slot", "place", (F.col("nth") - F.col("first")).alias("rank"), (F.col("nth") == F.col("end")).alias("last"))
 
 
@@ -109,7 +110,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, total: float = 1
     placed = rows.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     placed = placed.select("rid", "doc_id", "source", "k1", "size", "place", "source_size", "target")
     placed = stage(running(placed, ["place", "k1", "doc_id", "rid"], {"begin": "size"}, "mix-shuffled"), "mix-positions")
-    bases = placed.groupBy("place").agg(F.min("begin").alias("base"))
+    bases = stage(placed.groupBy("place").agg(F.min("begin").alias("base")), "mix-bases")
 
     blocks = F.ceil(F.col("source_size") / F.lit(block))
     slots = schedule(goal.select("place", "quota"), n).join(goal.select("place", "source_size", "quota"), "place")
