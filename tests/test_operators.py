@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import accounting, keys
-from tidemark.operators import asof, bounds, merge, oplog, retention
+from tidemark.operators import asof, bounds, merge, oplog, retention, sweep
 
 SCHEMA = "key string, seq long, kind int, value string"
 
@@ -106,21 +106,18 @@ def test_history(spark):
     assert [(r.seq, r.prev_seq) for r in oplog.history(log, "a").collect()] == [(4, 1), (1, None)]
 
 
-@pytest.mark.parametrize(
-    ("r", "want"),
-    [
-        (bounds.Range("k03", "k06", True), ["k04", "k05"]),
-        (bounds.Range("k03", "k06"), ["k03", "k04", "k05"]),
-        (bounds.Range("k03", "k06", hi_open=False), ["k03", "k04", "k05", "k06"]),
-        (bounds.Range("k07", None, True), ["k08", "k09"]),
-        (bounds.Range(), [f"k{i:02}" for i in range(10)]),
-        (bounds.Range("k06", "k03"), []),
-    ],
-)
-def test_ranges(spark, r, want):
-    view = asof.asof(rows_of(spark, [(f"k{i:02}", i + 1, f"v{i}") for i in range(10)]))
+@pytest.mark.parametrize("lo_open", [False, True])
+@pytest.mark.parametrize("hi_open", [False, True])
+@pytest.mark.parametrize(("lo", "hi"), [("fig", "pear"), (None, "fig"), ("fig", None), (None, None), ("pear", "fig"), ("f", "fz"), ("fig", "fig")])
+def test_ranges(spark, lo, hi, lo_open, hi_open):
+    fruit = ["apple", "cherry", "fig", "figs", "grape", "pear", "pears", "plum"]
+    above = lambda k: lo is None or (k > lo if lo_open else k >= lo)
+    below = lambda k: hi is None or (k < hi if hi_open else k <= hi)
+    r = bounds.Range(lo, hi, lo_open, hi_open)
+    want = [k for k in fruit if above(k) and below(k)]
+    view = asof.asof(rows_of(spark, [(k, i + 1, k.upper()) for i, k in enumerate(fruit)]))
     assert [x.key for x in bounds.scan(view, r).collect()] == want
-    assert all(r.meets(k, k) == (k in want) for k in (f"k{i:02}" for i in range(10)))
+    assert all(r.meets(k, k) == (k in want) for k in fruit)
 
 
 @pytest.mark.parametrize(("prefix", "hi"), [(b"a/", b"a0"), (b"a\xff", b"b"), (b"\xff\xff", None), (b"", None)])
@@ -143,3 +140,40 @@ def test_nearest_rank(spark):
     got = {r.p: r.value for r in accounting.nearest_rank(spark.createDataFrame([(v,) for v in values], "v double"), "v", [0.0, 0.5, 0.9, 1.0]).collect()}
     order = sorted(v for v in values if v is not None)
     assert got == {p: order[int(p * 4 + 0.5)] for p in (0.0, 0.5, 0.9, 1.0)}
+
+
+def test_hot_key_spreads(spark, monkeypatch):
+    """Nine tenths of the versions and probes have one key: no range holds much over its share."""
+    ranges = []
+    own = sweep.stage
+    monkeypatch.setattr(sweep, "stage", lambda df, name: ranges.append(own(df, name)) or ranges[-1])
+    log = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("k"), F.col("id").cast("string"))).otherwise("hot").alias("key"), (F.col("id") + 1).alias("seq"), F.when(F.col("id") % 7 == 0, 0).otherwise(1).alias("kind"), F.col("id").cast("string").alias("value"))
+    probes = log.select((F.col("seq") - 1).alias("probe_seq"), "key")
+    got = asof.asof_join(probes, log)
+    share = ranges[0].groupBy("_range").count().agg(F.max("count"), F.sum("count")).first()
+    versions = {(r.key, r.seq): r for r in log.collect()}
+    last, want = {}, {}
+    for (key, seq), r in sorted(versions.items(), key=lambda x: x[0][1]):
+        if key in last and last[key].kind:
+            want[(seq - 1, key)] = last[key].value
+        last[key] = r
+    assert {(r.probe_seq, r.key): r.value for r in got.collect()} == want
+    assert share[0] < 0.35 * share[1]  # of four ranges
+    kept = retention.retain(log, 15_000, bottom=True)
+    assert kept.filter("key = 'hot' AND seq <= 15000").count() == 1
+    assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_rank_of_distinct_values_is_spread(spark):
+    df = spark.range(50_000).select((F.col("id") * 7919 % 50_000).cast("double").alias("v"))
+    assert {r.p: r.value for r in accounting.nearest_rank(df, "v", [0.0, 0.5, 0.999, 1.0]).collect()} == {0.0: 0.0, 0.5: 25_000.0, 0.999: 49_949.0, 1.0: 49_999.0}
+    assert accounting.nearest_rank(df.limit(0), "v", [0.5]).collect() == []
+
+
+def test_release_removes_staged_tables(spark):
+    from tidemark import staging
+
+    df = staging.stage(spark.range(3), "t")
+    path = df.inputFiles()[0]
+    assert staging.within(spark, path.rsplit("/", 1)[0]) and staging.release(spark) >= 1
+    assert not staging.within(spark, path.rsplit("/", 1)[0]) and staging.within(spark, path) == []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sweep import running
 from ..options import ENTRY_OVERHEAD, LOG_HEADER
 
 
@@ -32,14 +33,12 @@ def summary(log: DataFrame, *by: str) -> DataFrame:
 def nearest_rank(df: DataFrame, column: str, percents: list[float]) -> DataFrame:
     """p, value: the value at rank round(p * (n - 1)) in order.
 
-    Ranks come from per-value counts and running sums over the distinct values, so equal values
-    combine before the shuffle.
+    Ranks come from per-value counts and running sums over ranges of the distinct values: equal
+    values combine before the shuffle, and distinct ones are never in one task.
     """
-    from pyspark.sql import Window
-
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("hi", F.sum("n").over(Window.orderBy("value"))).withColumn("lo", F.col("hi") - F.col("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    wanted = df.sparkSession.createDataFrame([(float(p),) for p in percents], "p double").join(F.broadcast(total))
-    wanted = wanted.select("p", F.round(F.col("p") * (F.col("total") - 1)).cast("long").alias("rank"))
-    return upto.join(F.broadcast(wanted), (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("p", "value")
+    upto = running(counts, ["value"], {"lo": "n"}, "ranks")
+    total = upto.agg(F.sum("n")).first()[0] or 0
+    ranks = [F.struct(F.lit(float(p)).alias("p"), F.round(F.lit(float(p)) * (total - 1)).cast("long").alias("rank")) for p in percents]
+    wanted = upto.withColumn("w", F.explode(F.filter(F.array(*ranks), lambda w: (w["rank"] >= F.col("lo")) & (w["rank"] < F.col("lo") + F.col("n")))))
+    return wanted.select("w.p", "value")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .oplog import DELETE, PUT
+from .sweep import swept
 
 
 def newest(log: DataFrame, seq: int | None = None) -> DataFrame:
@@ -40,11 +41,13 @@ def get(log: DataFrame, key, seq: int | None = None) -> DataFrame:
 def asof_join(probes: DataFrame, log: DataFrame) -> DataFrame:
     """``probes``: probe_seq, key. Adds the value that the key had at probe_seq; dead keys go.
 
-    One union and one sorted pass per key instead of a join of every probe with every version:
-    the work grows with probes plus versions.
+    Versions and probes are swept in one order of key and seq: the work grows with probes plus
+    versions. The order is cut into ranges, each of which is told the last version before it, so a
+    key with any number of versions spreads over many tasks.
     """
-    one = log.select("key", F.col("seq").alias("at"), F.lit(0).alias("probe"), F.struct("kind", "value").alias("state"))
+    state = F.struct("key", "kind", "value").alias("state")
+    one = log.select("key", F.col("seq").alias("at"), F.lit(0).alias("probe"), state)
     two = probes.select("key", F.col("probe_seq").alias("at"), F.lit(1).alias("probe"), F.lit(None).cast(one.schema["state"].dataType).alias("state"))
-    order = Window.partitionBy("key").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = one.unionByName(two).withColumn("last", F.last("state", ignorenulls=True).over(order))
-    return seen.filter((F.col("probe") == 1) & (F.col("last.kind") == PUT)).select(F.col("at").alias("probe_seq"), "key", F.col("last.value").alias("value"))
+    seen = swept(one.unionByName(two), ["key", "at", "probe"], "state", "asof-join")
+    found = (F.col("probe") == 1) & (F.col("state.key") == F.col("key")) & (F.col("state.kind") == PUT)
+    return seen.filter(found).select(F.col("at").alias("probe_seq"), "key", F.col("state.value").alias("value"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .asof import asof
+from .asof import asof, newest
 from .oplog import DELETE
 
 
@@ -18,15 +18,13 @@ def retain(log: DataFrame, oldest: int, *, bottom: bool) -> DataFrame:
     """What must stay for all reads at ``oldest`` or later.
 
     All newer versions stay, and of the others the newest of each key; that one goes too if it is
-    a delete and no older level holds the key (``bottom``).
+    a delete and no older level holds the key (``bottom``). Newer versions aren't shuffled, and of
+    the others each task sends one row a key, so a key with any number of versions is no burden.
     """
-    old = F.col("seq") <= oldest
-    order = Window.partitionBy("key", old).orderBy(F.desc("seq"))
-    rows = log.withColumn("_rn", F.when(old, F.row_number().over(order)))
-    keep = F.col("_rn").isNull() | (F.col("_rn") == 1)
+    last = newest(log.filter(F.col("seq") <= oldest))
     if bottom:
-        keep &= F.col("_rn").isNull() | (F.col("kind") != DELETE)
-    return rows.filter(keep).drop("_rn")
+        last = last.filter(F.col("kind") != DELETE)
+    return log.filter(F.col("seq") > oldest).unionByName(last)
 
 
 def differences(log: DataFrame, oldest: int, seq: int, *, bottom: bool) -> DataFrame:
