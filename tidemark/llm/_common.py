@@ -1,70 +1,25 @@
-"""Shared helpers of the operators: staging tables, file locations, literals."""
+"""Shared helpers of the operators: text, keys of rows, literals."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sweep import running, swept
+from ..staging import create, delete, new_path, shared_dir, stage, within
+
+__all__ = [
+    "UPPER", "WORD", "WS", "all_of", "create", "delete", "let", "lower_ascii", "new_path", "row_key", "running", "shared_dir", "stage", "swept", "table", "text_of", "within",
+]
+
 #: White space of every contract here: the space and U+0009..U+000D.
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one in local mode only."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts lineage with a table that survives a lost executor, and pins values that a second
-    evaluation could number differently.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _hadoop(spark: SparkSession, path: str) -> tuple:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    fs, p = _hadoop(spark, path)
-    fs.delete(p, True)
-
-
-def within(spark: SparkSession, path: str) -> list[str]:
-    """Sorted names in a folder, hidden ones apart; none if there is no such folder."""
-    fs, p = _hadoop(spark, path)
-    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-    return sorted(n for n in names if n[0] not in "._")
-
-
-def create(spark: SparkSession, path: str) -> None:
-    """An empty file, which is there whole or not at all."""
-    fs, p = _hadoop(spark, path)
-    fs.create(p, True).close()
-
-
 def text_of(col: str | Column) -> Column:
     """Null text counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
@@ -96,36 +51,3 @@ def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     """Two longs that stand for a row: equal for repeated rows, whose results are equal too."""
     both = F.struct(F.col(id_col), F.col(text_col))
     return F.xxhash64(both).alias("k1"), F.xxhash64(F.lit("row"), both).alias("k2")
-
-
-def running(rows: DataFrame, order: list[Column | str], amounts: dict[str, Column | str], name: str) -> DataFrame:
-    """Adds, for each of ``amounts``, the sum over the rows that come before in ``order``.
-
-    Rows are cut into ranges, written once, and summed by range; the table of ranges has a row for
-    each partition, so its own running sum and its broadcast are bounded by their number.
-    """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    added = {f"_amount_{k}": F.col(c) if isinstance(c, str) else c for k, c in amounts.items()}
-    ranged = stage(rows.withColumns(added).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), name)
-    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("_range").agg(*[F.sum(c).alias(c) for c in added])
-    bases = sums.select("_range", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"_base{c}") for c in added])
-    near = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = ranged.withColumns({f"_in{c}": F.coalesce(F.sum(c).over(near), F.lit(0)) for c in added})
-    out = inner.join(F.broadcast(bases), "_range")
-    return out.select(*rows.columns, *[(F.col(f"_base_amount_{k}") + F.col(f"_in_amount_{k}")).alias(k) for k in amounts])
-
-
-def swept(events: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """``events`` with the last ``value`` that isn't null, up to each row in ``order``.
-
-    As in :func:`running`, each range starts with what the ranges before it end with.
-    """
-    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stage(events.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), name)
-    ends = ranged.groupBy("_range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
-    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("_range", F.last("_end", ignorenulls=True).over(upto).alias("_carried"))
-    near = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = ranged.withColumn(value, F.last(value, ignorenulls=True).over(near))
-    return inner.join(F.broadcast(carried), "_range").withColumn(value, F.coalesce(value, "_carried")).drop("_range", "_carried")
