@@ -5,13 +5,17 @@ import random
 import subprocess
 import sys
 import textwrap
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.errors import DataFileCorrupt, InvalidArgument, StoreClosed, StoreLocked, StorePoisoned
+from tidemark.errors import DataFileCorrupt, InvalidArgument, StoreClosed, StoreIOError, StoreLocked, StorePoisoned
 from tidemark.operators.bounds import Range, prefix_range
 from tidemark.options import MAX_KEY_LEN, Options
+from tidemark.plans.manifest import CHECKPOINT_EVERY, Manifest
+from tidemark.sources import layout
 from tidemark.store import Store, WriteBatch
 from tidemark.streaming import ingest
 from tidemark.workload import Zipf, random_ops, requests
@@ -20,6 +24,15 @@ HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SMALL = Options(memtable_size=1 << 30, l1_max_bytes=1 << 14, target_file_size=1 << 15)
 
 
+def batch_of(puts, deletes=()):
+    batch = WriteBatch()
+    for k, v in puts.items():
+        batch.put(k, v)
+    for k in deletes:
+        batch.delete(k)
+    return batch
+
+
 @pytest.fixture
 def store(spark, tmp_path):
     with Store.open(spark, str(tmp_path / "db"), SMALL) as s:
@@ -48,29 +61,27 @@ def test_atomic_batch_between_snapshots(store):
     before.release(), after.release(), after.release()
 
 
-def test_snapshot_outlives_compaction(store):
-    n = 60
-    batch = WriteBatch()
-    for i in range(n):
-        batch.put(f"k{i:04}".encode(), f"orig-{i}".encode())
-    store.write_batch(batch)
+def test_old_reader_and_a_rewrite(store):
+    """A reader from before keeps its view through a rewrite; without readers only live rows stay."""
+    first = {f"item/{i * 37 % 101:03}".encode(): f"first {i}".encode() for i in range(101)}
+    store.write_batch(batch_of(first))
     store.flush()
+    gone, changed = sorted(first)[10:50], sorted(first)[40:90:2]
     with store.snapshot() as old:
-        batch = WriteBatch()
-        for i in range(n):
-            (batch.delete(f"k{i:04}".encode()) if i % 3 == 0 else batch.put(f"k{i:04}".encode(), f"new-{i}".encode()))
-        store.write_batch(batch)
+        store.write_batch(batch_of({k: b"second" for k in changed}, gone))
         store.compact()
-        assert {bytes(r.key): bytes(r.value) for r in old.scan().collect()} == {f"k{i:04}".encode(): f"orig-{i}".encode() for i in range(n)}
-        assert store.oldest_snapshot() == n
-        assert {bytes(k): v for k, v in store.scan()} == {f"k{i:04}".encode(): f"new-{i}".encode() for i in range(n) if i % 3}
+        assert {bytes(r.key): bytes(r.value) for r in old.scan().collect()} == first
+        assert store.oldest_snapshot() == len(first)
+        now = {k: v for k, v in (first | dict.fromkeys(changed, b"second")).items() if k not in gone}
+        assert dict(store.scan()) == now
         stats = store.stats()
-        assert stats.memtable_bytes == 0 and stats.level_files[:-1] == [0] * (len(stats.level_files) - 1) and stats.write_amplification() > 1
+        assert stats.memtable_bytes == 0 and not any(stats.level_files[:-1]) and stats.write_amplification() > 1
     assert store.oldest_snapshot() == store.visible_seq()
-    store.write_batch(WriteBatch().put(b"k0000", b"").put(b"k0059", b""))  # meets all files below
-    store.compact()  # no reader is left: old versions and deletes go
+    lo, hi = min(first), max(first)
+    store.write_batch(batch_of({lo: b"", hi: b""}))  # meets all files below
+    store.compact()
     files = [f for level in store.files() for f in level]
-    assert sum(f.entries for f in files) == n - n // 3 + 1
+    assert sum(f.entries for f in files) == len(now | {lo: b"", hi: b""}) and store.verify() == len(files)
     on_disk = {os.path.join(d, x) for d, _, names in os.walk(store.path) for x in names if x.endswith(".parquet")}
     assert on_disk == {f.path for f in files}
 
@@ -126,7 +137,12 @@ def test_write_frame(spark, store):
         store.write_frame(spark.createDataFrame([(0, None, 1, "x")], "op_index long, key string, kind int, value string"))
     with pytest.raises(InvalidArgument):
         store.write_frame(spark.createDataFrame([(0, "a", 1, None)], "op_index long, key string, kind int, value string"))
-    assert store.write_frame(ops.limit(0)) == 3000
+    twice = spark.createDataFrame([(7, "a", 1, "x"), (8, "b", 1, "x"), (7, "c", 1, "x")], "op_index long, key string, kind int, value string")
+    with pytest.raises(InvalidArgument, match="twice"):
+        store.write_frame(twice)
+    with pytest.raises(InvalidArgument):
+        store.write_frame(twice.select(F.lit(None).cast("long").alias("op_index"), "key", "kind", "value").limit(1))
+    assert store.write_frame(ops.limit(0)) == 3000 and len(os.listdir(f"{store.path}/log")) == 1
 
 
 def test_levels_are_disjoint_and_pruned(spark, store):
@@ -164,18 +180,290 @@ def test_bad_options_leave_no_folder(spark, tmp_path):
     assert not os.path.exists(tmp_path / "none")
 
 
-def test_failed_commit_poisons(spark, tmp_path, monkeypatch):
+def _broken(*_):
+    raise OSError("disk")
+
+
+@pytest.mark.parametrize("step", ["link", "fsync"])
+@pytest.mark.parametrize("call", ["put", "flush", "compact"])
+def test_failure_half_way_poisons(spark, tmp_path, monkeypatch, step, call):
+    """Whichever step fails, no read or write goes on; what was acknowledged is there after reopening."""
     path = str(tmp_path / "p")
     store = Store.open(spark, path)
     store.put(b"a", b"1")
-    monkeypatch.setattr(os, "link", lambda *_: (_ for _ in ()).throw(OSError("disk")))
-    for _ in range(2):
-        with pytest.raises(StorePoisoned):
-            store.put(b"b", b"2")
+    if call == "compact":
+        store.flush()
+    monkeypatch.setattr(os, step, _broken)
+    with pytest.raises(StoreIOError):
+        store.put(b"b", b"2") if call == "put" else store.flush() if call == "flush" else store.compact()
     monkeypatch.undo()
+    for again in (lambda: store.put(b"c", b""), store.snapshot, lambda: store.get(b"a"), store.flush, store.compact, store.stats, lambda: store.write_frame(random_ops(spark, 5, 2))):
+        with pytest.raises(StorePoisoned):
+            again()
+    store.close()
+    with Store.open(spark, path) as s:
+        assert s.get(b"a") == b"1" and s.get(b"c") is None
+        s.put(b"d", b"")
+        s.compact()
+        assert s.get(b"d") == b""
+
+
+def test_failed_describe_poisons(spark, tmp_path, monkeypatch):
+    store = Store.open(spark, str(tmp_path / "p"))
+    store.put(b"a", b"1")
+    monkeypatch.setattr(layout, "describe", _broken)
+    with pytest.raises(StoreIOError):
+        store.flush()
+    with pytest.raises(StorePoisoned):
+        store.get(b"a")
     store.close()
-    with Store.open(spark, path) as again:
-        assert again.scan() == [(b"a", b"1")] and again.put(b"c", b"") == 2
+
+
+def test_failed_checkpoint_leaves_its_commit(tmp_path, monkeypatch):
+    m = Manifest(str(tmp_path))
+    monkeypatch.setattr(m, "checkpoint", _broken)
+    for i in range(1, CHECKPOINT_EVERY + 1):
+        assert m.commit([{"type": "last_seq", "value": i}]) == i
+    with pytest.raises(StorePoisoned):
+        m.commit([{"type": "last_seq", "value": 999}])
+    assert Manifest(str(tmp_path)).state.last_seq == CHECKPOINT_EVERY
+
+
+def _log_file(path):
+    return next(os.path.join(d, f) for d, _, names in os.walk(f"{path}/log") for f in names if f.endswith(".parquet") and f[0] != ".")
+
+
+@pytest.mark.parametrize("bulk", [False, True])
+@pytest.mark.parametrize("damage", ["remove", "truncate", "flip", "grow"])
+def test_damaged_log_is_refused(spark, tmp_path, damage, bulk):
+    """An acknowledged batch can't vanish or change in silence, and nothing is removed then."""
+    path = str(tmp_path / "d")
+    with Store.open(spark, path) as s:
+        s.write_frame(random_ops(spark, 50, 9)) if bulk else s.put(b"a", b"1")
+    data = _log_file(path)
+    whole = open(data, "rb").read()
+    if damage == "remove":
+        os.remove(data)
+    else:
+        changed = {"truncate": whole[:-1], "grow": whole + b"x", "flip": whole[:20] + bytes([whole[20] ^ 1]) + whole[21:]}[damage]
+        open(data, "wb").write(changed)
+    os.makedirs(f"{path}/log/batch=999")
+    with pytest.raises(DataFileCorrupt):
+        Store.open(spark, path)
+    assert os.path.exists(f"{path}/log/batch=999")
+    open(data, "wb").write(whole)
+    with Store.open(spark, path) as s:
+        assert s.visible_seq() == (50 if bulk else 1) and s.verify() >= 1 and not os.path.exists(f"{path}/log/batch=999")
+
+
+def test_executors_take_many_checksums(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "DRIVER_BYTES", 0)
+    path = str(tmp_path / "d")
+    with Store.open(spark, path) as s:
+        s.write_frame(random_ops(spark, 50, 9))
+        state = s._manifest.state
+        assert layout.checksums(spark, [f"{b.path}/{f.name}" for b in state.logs for f in b.files]) == {f"{b.path}/{f.name}": f.crc32 for b in state.logs for f in b.files}
+    with Store.open(spark, path) as s:
+        assert s.visible_seq() == 50
+
+
+def test_flipped_page_is_noticed_when_read(spark, tmp_path):
+    """A level's file of the right size and rows: its pages have checksums, wherever it lies."""
+    path = str(tmp_path / "page")
+    with Store.open(spark, path) as s:
+        s.write_batch(batch_of({f"k{i:04}".encode(): os.urandom(64) for i in range(200)}))
+        s.flush()
+        data = s.files()[0][0].path
+    os.remove(os.path.join(os.path.dirname(data), f".{os.path.basename(data)}.crc"))  # of the local file system alone
+    with open(data, "r+b") as f:
+        f.seek(2_000)
+        byte = f.read(1)
+        f.seek(2_000)
+        f.write(bytes([byte[0] ^ 1]))
+    with Store.open(spark, path) as s, pytest.raises(Exception, match=r"(?i)crc|checksum"):
+        s.scan()
+
+
+def test_order_of_files_is_checked(spark, tmp_path):
+    path = str(tmp_path / "o")
+    rows = [(b"b", 2, 1, b""), (b"a", 3, 1, b""), (b"c", 1, 1, b""), (b"c", 4, 1, b""), (b"c", 2, 1, b"")]
+    layout.write_log_here(rows, path)
+    assert sorted((r.row_index, bytes(r.key)) for r in layout.out_of_order(spark, [path]).collect()) == [(1, b"a"), (3, b"c")]
+    with Store.open(spark, str(tmp_path / "s")) as s:
+        s.write_frame(random_ops(spark, 500, 40))
+        s.flush()
+        assert layout.out_of_order(spark, [f.path for f in s.files()[0]]).isEmpty() and s.verify() == 1
+
+
+def test_bulk_flush_is_many_files_and_one_run(spark, tmp_path):
+    """A bulk load is flushed in ranges of keys; it counts once towards the rewrite of level 0."""
+    with Store.open(spark, str(tmp_path / "b"), Options(memtable_size=1 << 30, target_file_size=4_000, l0_compaction_trigger=2)) as s:
+        s.write_frame(random_ops(spark, 4_000, 900))
+        s.flush()
+        top = sorted(s.files()[0], key=lambda f: f.smallest)
+        assert len(top) > 4 and all(a.largest < b.smallest for a, b in zip(top, top[1:], strict=False))
+        assert max(f.entries for f in top) < 2_000 and s.stats().background_idle
+        s.put(b"key-00001", b"")
+        s.flush()
+        assert not s.stats().background_idle
+
+
+# --- writers in threads ----------------------------------------------------------------------------
+
+
+def _run_all(jobs):
+    threads = [threading.Thread(target=j) for j in jobs]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert not any(t.is_alive() for t in threads)
+
+
+@pytest.mark.parametrize("window", [0.0, 0.02])
+def test_writers_share_commits(spark, tmp_path, window):
+    """All batches of all threads land, in far fewer commits, each under seqs of its own."""
+    acks = {}
+    with Store.open(spark, str(tmp_path / "w"), Options(commit_window=window)) as s:
+
+        def work(w):
+            for i in range(25):
+                acks[w, i] = s.write_batch(WriteBatch().put(f"{w}:{i}".encode(), f"{i}".encode()).put(f"{w}".encode(), f"{i}".encode()))
+
+        _run_all([lambda w=w: work(w) for w in range(16)])
+        assert sorted(acks.values()) == list(range(2, 802, 2)) and s.visible_seq() == 800
+        assert all(acks[w, i] < acks[w, i + 1] for w in range(16) for i in range(24))
+        commits = s.stats().log_commits
+        assert commits <= 250
+        s.compact()
+        got = dict(s.scan())
+        assert len(got) == 16 * 26 and all(got[f"{w}:{i}".encode()] == f"{i}".encode() for w in range(16) for i in range(25))
+
+
+def test_group_stays_within_the_memtable(spark, tmp_path):
+    """The first request is taken whatever its size, more only while they fit."""
+    with Store.open(spark, str(tmp_path / "g"), Options(memtable_size=1024, commit_window=0.2)) as s:
+        big = WriteBatch().put(b"big", b"x" * 5_000)
+        _run_all([lambda: s.write_batch(big), lambda: s.write_batch(big), lambda: s.put(b"a", b"x" * 5_000)])
+        assert s.stats().log_commits == 3 and s.stats().memtable_bytes == 0
+
+
+def test_one_bad_batch_fails_alone(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "o"), Options(commit_window=0.1)) as s:
+        failed = []
+
+        def bad():
+            try:
+                s.put(b"x" * (MAX_KEY_LEN + 1), b"")
+            except InvalidArgument as e:
+                failed.append(e)
+
+        _run_all([bad, *(lambda i=i: s.put(f"{i}".encode(), b"") for i in range(6))])
+        assert len(failed) == 1 and len(s.scan()) == 6
+
+
+def test_failed_commit_fails_the_whole_group(spark, tmp_path, monkeypatch):
+    s = Store.open(spark, str(tmp_path / "f"), Options(commit_window=0.3))
+    errors = []
+
+    def put(i):
+        try:
+            s.put(f"{i}".encode(), b"")
+        except StoreIOError as e:
+            errors.append(e)
+
+    monkeypatch.setattr(os, "link", _broken)
+    _run_all([lambda i=i: put(i) for i in range(5)])
+    monkeypatch.undo()
+    assert len(errors) == 5
+    s.close()
+    with Store.open(spark, s.path) as again:
+        assert again.scan() == []
+
+
+def test_close_among_writers(spark, tmp_path):
+    """close() returns, no writer hangs, and each acknowledged write is there after reopening."""
+    options = Options(memtable_size=2048, background=True)
+    s = Store.open(spark, str(tmp_path / "c"), options)
+    acked = []
+
+    def work(w):
+        for i in range(10_000):
+            try:
+                s.put(f"{w}/{i}".encode(), b"v" * 50)
+                acked.append(f"{w}/{i}".encode())
+            except StoreClosed:
+                return
+
+    threads = [threading.Thread(target=work, args=(w,)) for w in range(6)]
+    for t in threads:
+        t.start()
+    time.sleep(2)
+    s.close()
+    for t in threads:
+        t.join(60)
+    assert not any(t.is_alive() for t in threads) and acked
+    with Store.open(spark, s.path, options) as again:
+        assert set(acked) <= {k for k, _ in again.scan()}
+
+
+def test_writers_wait_for_the_background(spark, tmp_path, monkeypatch):
+    """With so many frozen logs waiting, the next one that is full stalls its writer until a flush."""
+    gate, started = threading.Event(), threading.Event()
+    write_runs = layout.write_runs
+
+    def slow(*args):
+        started.set()
+        assert gate.wait(60)
+        write_runs(*args)
+
+    monkeypatch.setattr(layout, "write_runs", slow)
+    with Store.open(spark, str(tmp_path / "s"), Options(memtable_size=1024, background=True, l0_compaction_trigger=100)) as s:
+        full = lambda i: s.put(f"k{i}".encode(), b"v" * 1100)
+        full(0)
+        assert started.wait(60)
+        full(1)
+        last = threading.Thread(target=lambda: (full(2), full(3)))
+        last.start()
+        time.sleep(1)
+        assert last.is_alive() and s.visible_seq() == 3 and len(s._frozen) == 2  # the third is acknowledged and waits to be frozen
+        gate.set()
+        last.join(60)
+        assert not last.is_alive() and s.wait_idle(60) and s.stats().background_idle and s.stats().memtable_bytes == 0
+        assert [k for k, _ in s.scan()] == [b"k0", b"k1", b"k2", b"k3"]
+
+
+def test_killed_while_threads_write(tmp_path, spark):
+    """SIGKILL at any point: each write that was acknowledged is there, and the store goes on."""
+    path = str(tmp_path / "k")
+    code = f"""
+        import sys, threading
+        sys.path.insert(0, {HERE!r})
+        from pyspark.sql import SparkSession
+        from tidemark.options import Options
+        from tidemark.store import Store
+        spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+        s = Store.open(spark, {path!r}, Options(memtable_size=1 << 14, background=True))
+        def work(w):
+            for i in range(10 ** 6):
+                s.put(f"{{w}}/{{i:07}}".encode(), f"{{w}}={{i}}".encode())
+                sys.stdout.write(f"{{w}} {{i}}" + chr(10))
+                sys.stdout.flush()
+        for w in range(8):
+            threading.Thread(target=work, args=(w,)).start()
+    """
+    child = subprocess.Popen([sys.executable, "-c", textwrap.dedent(code)], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, start_new_session=True)
+    lines = [child.stdout.readline() for _ in range(300)]
+    os.killpg(child.pid, 9)
+    lines += child.stdout.read().splitlines(keepends=True)
+    child.wait(60)
+    acked = [line.split() for line in lines if line.endswith("\n") and len(line.split()) == 2]
+    assert len(acked) >= 290
+    with Store.open(spark, path) as s:
+        got = dict(s.scan())
+        assert all(got[f"{w}/{int(i):07}".encode()] == f"{w}={i}".encode() for w, i in acked)
+        before = s.visible_seq()
+        assert s.put(b"more", b"") == before + 1 and s.verify() >= 1
 
 
 def test_killed_between_staging_and_commit(spark, tmp_path):

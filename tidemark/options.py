@@ -11,6 +11,8 @@ FORMAT_VERSION = 1
 MAX_KEY_LEN = 65_535
 MAX_VALUE_LEN = 268_435_456
 MAX_BATCH_REQUESTS = 1024
+#: Frozen logs that may wait for their flush before writers do.
+MAX_FROZEN = 2
 #: Bytes that a log record and a memtable entry have besides key and value.
 LOG_HEADER = 21
 ENTRY_OVERHEAD = 16
@@ -24,7 +26,10 @@ class Options:
     level_multiplier: int = 10
     target_file_size: int = 2 << 20
     max_levels: int = 7
+    #: Seconds that a commit waits for more writers.
     commit_window: float = 0.0
+    #: Flush and rewrite in a thread; otherwise the writer that fills the log does.
+    background: bool = False
 
     def __post_init__(self) -> None:
         for name, least in (("memtable_size", 1024), ("l0_compaction_trigger", 1), ("l1_max_bytes", 1), ("level_multiplier", 1), ("target_file_size", 1)):

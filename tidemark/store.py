@@ -1,33 +1,45 @@
 """A store: atomic batches, snapshots, flush and leveled compaction over Parquet files.
 
 ``<dir>/_lock`` is held while open; ``_manifest`` has the commits; ``log/batch=N`` the committed
-batches that aren't flushed; ``L<n>/job=N`` the sorted files. Executors write data files, the
-driver commits their names. A view names its files one by one, so later writes, flushes and
-compactions don't touch it; files go when no snapshot or view that is registered needs them. The
-directory must be a POSIX path that all executors share.
+batches that aren't flushed; ``L<n>/job=N`` the sorted files. Executors write data files (the driver
+those of batches it holds), the driver syncs them and then commits their names, with size, row count
+and checksum for what is only in the log. A view names its files one by one, so later writes,
+flushes and compactions don't touch it; files go when no snapshot or view that is registered needs
+them. The directory must be a POSIX path that all executors share.
+
+Writers from any number of threads queue up. The one that finds nobody committing takes what is
+queued, commits it as one log file and one manifest record, and answers all; the others wait. When
+the log has ``memtable_size`` bytes it is frozen and flushed, by the writer itself or, with
+``background``, by a thread, which lets writers go on until ``MAX_FROZEN`` frozen logs wait.
+
+Locks are taken in this order: ``_writing`` (one commit of data at a time), ``_work`` (one flush or
+compaction at a time), ``_guard`` (state in memory and the manifest). Jobs run outside ``_guard``.
 """
 
 from __future__ import annotations
 
+import contextlib
 import fcntl
 import os
 import shutil
 import threading
-from collections import Counter
-from collections.abc import Iterable
-from dataclasses import asdict, dataclass, field
+import time
+from collections import Counter, deque
+from collections.abc import Callable, Iterable
+from concurrent.futures import Future
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .errors import InvalidArgument, StoreClosed, StoreIOError, StoreLocked, StorePoisoned
-from .functions.accounting import byte_counts
+from .errors import DataFileCorrupt, InvalidArgument, StoreClosed, StoreError, StoreIOError, StoreLocked, StorePoisoned
+from .functions.accounting import payload
 from .operators import asof as reads
 from .operators.bounds import Range
 from .operators.merge import merge_tagged
-from .operators.oplog import DELETE, PUT, SCHEMA
+from .operators.oplog import DELETE, PUT
 from .operators.retention import retain, watermark
-from .options import ENTRY_OVERHEAD, LOG_HEADER, MAX_KEY_LEN, MAX_VALUE_LEN, Options
+from .options import ENTRY_OVERHEAD, LOG_HEADER, MAX_BATCH_REQUESTS, MAX_FROZEN, MAX_KEY_LEN, MAX_VALUE_LEN, Options
 from .plans.compaction import Plan, hull, may_drop_deletes, overlapping, pick
 from .plans.manifest import FileMeta, LogBatch, Manifest, added
 from .sources import layout
@@ -65,12 +77,26 @@ class Stats:
     wal_bytes: int = 0
     flush_bytes: int = 0
     compaction_bytes: int = 0
+    #: Keys and values of what was written, before Parquet's compression.
+    flush_payload: int = 0
+    compaction_payload: int = 0
+    #: Log files committed: batches of several writers share one.
+    log_commits: int = 0
     background_idle: bool = True
 
     def write_amplification(self) -> float:
         return (self.wal_bytes + self.flush_bytes + self.compaction_bytes) / self.user_bytes if self.user_bytes else 0.0
 
 
+@dataclass
+class _Request:
+    """What one caller wants committed, and where the answer goes."""
+
+    batches: list[WriteBatch]
+    size: int
+    answer: Future
+
+
 class Snapshot:
     """A seq and the files that hold all up to it, until released."""
 
@@ -112,6 +138,14 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options) -> None:
         self.spark, self.path, self.options = spark, path, options
         self._guard = threading.RLock()
+        self._changed = threading.Condition(self._guard)
+        self._writing, self._work = threading.RLock(), threading.RLock()
+        self._queue: deque[_Request] = deque()
+        #: The last log batch of each frozen log that waits for its flush, oldest first.
+        self._frozen: list[int] = []
+        self._busy = False
+        self._thread: threading.Thread | None = None
+        self._next = 1
         self._snapshots: dict[int, Snapshot] = {}
         self._seqs: Counter[int] = Counter()
         self._garbage: set[str] = set()
@@ -122,7 +156,11 @@ class Store:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, options: Options | None = None) -> Store:
-        """Recover: lock, fold the manifest, drop what no commit names, go on where it ended."""
+        """Recover: lock, fold the manifest, check the files, drop what no commit names, go on.
+
+        A batch whose commit isn't there never was. A file that a commit names and that isn't there
+        as it was acknowledged is an error, and nothing is removed.
+        """
         options = options or Options()  # checks its values before the directory is touched
         self = cls(spark, path.rstrip("/"), options)
         os.makedirs(self.path, exist_ok=True)
@@ -137,10 +175,15 @@ class Store:
             for files in self._manifest.state.levels:
                 for meta in files:
                     layout.validate(meta)
+            layout.validate_logs(spark, self._manifest.state.logs)
             self._remove_orphans()
         except BaseException:
             self._unlock()
             raise
+        self._next = self._manifest.state.next_number
+        if options.background:
+            self._thread = threading.Thread(target=self._background, name="tidemark-maintenance", daemon=True)
+            self._thread.start()
         return self
 
     def _unlock(self) -> None:
@@ -148,11 +191,19 @@ class Store:
         os.close(self._lock)
 
     def close(self) -> None:
+        """Commits that have begun end; what is still queued fails. The log stays for the next open."""
         with self._guard:
-            if not self._closed:
-                self._closed = True
-                self._collect_garbage(everything=True)
-                self._unlock()
+            if self._closed:
+                return
+            self._closed = True
+            self._changed.notify_all()
+        if self._thread and self._thread is not threading.current_thread():
+            self._thread.join()
+        with self._writing, self._work, self._guard:  # after the commit or job that is running
+            while self._queue:
+                self._queue.popleft().answer.set_exception(StoreClosed(self.path))
+            self._collect_garbage(everything=True)
+            self._unlock()
 
     def __enter__(self) -> Store:
         return self
@@ -166,6 +217,18 @@ class Store:
         if self._failed:
             raise StorePoisoned(self._failed)
 
+    def _fail(self, e: Exception) -> StoreIOError:
+        """The first failure half-way: no call goes on until the store is opened again."""
+        with self._guard:
+            self._failed = self._failed or str(e)[:200] or type(e).__name__
+            self._changed.notify_all()
+        return e if isinstance(e, StorePoisoned) else StoreIOError(str(e))
+
+    def _allot(self, n: int = 1) -> int:
+        with self._guard:
+            self._next += n
+            return self._next - n
+
     def _remove_orphans(self) -> None:
         state = self._manifest.state
         named = {os.path.dirname(f.path) for files in state.levels for f in files} | {b.path for b in state.logs}
@@ -189,85 +252,180 @@ class Store:
         return self.write_batches([batch])[0]
 
     def write_batches(self, batches: Iterable[WriteBatch]) -> list[int]:
-        """Group commit: one log file and one manifest commit for all; each batch's last seq.
+        """Commit several batches in one; each batch's last seq.
 
-        A batch that is out of limits fails the call before anything is written.
+        Other threads' batches may share the commit. A batch that is out of limits fails the call
+        before anything is written, and no other's call.
         """
         batches = list(batches)
         for key, _, value in (op for b in batches for op in b.ops):
             if len(key) > MAX_KEY_LEN or value is not None and len(value) > MAX_VALUE_LEN:
                 raise InvalidArgument("key or value too long")
+        request = _Request(batches, sum(len(k) + len(v or b"") for b in batches for k, _, v in b.ops), Future())
         with self._guard:
             self._ready()
-            acks, rows, seq = [], [], self._manifest.state.last_seq
-            for b in batches:
-                for key, kind, value in b.ops:
-                    seq += 1
-                    rows.append((bytearray(key), seq, kind, None if value is None else bytearray(value)))
-                acks.append(seq)
+            self._queue.append(request)
+            self._changed.notify_all()
+        while not request.answer.done():
+            with self._writing:  # whoever gets it commits for all that wait
+                if not request.answer.done():
+                    self._lead()
+        return request.answer.result()
+
+    def _active(self) -> list[LogBatch]:
+        """Log batches that aren't frozen."""
+        frozen = self._frozen[-1] if self._frozen else self._manifest.state.flushed_log
+        return [b for b in self._manifest.state.logs if b.number > frozen]
+
+    def _take(self) -> list[_Request]:
+        """The requests of the next commit: the first always, more while they fit the memtable."""
+        with self._guard:
+            room = self.options.memtable_size - sum(b.mem_bytes for b in self._active())
+            until = time.monotonic() + self.options.commit_window
+            taken = [self._queue.popleft()] if self._queue else []
+            size = sum(r.size for r in taken)
+            while taken and len(taken) < MAX_BATCH_REQUESTS and size < room:
+                if self._queue:
+                    taken.append(self._queue.popleft())
+                    size += taken[-1].size
+                elif self._closed or (left := until - time.monotonic()) <= 0:
+                    break
+                else:
+                    self._changed.wait(left)
+            return taken
+
+    def _lead(self) -> None:
+        """One group commit. Held: ``_writing``."""
+        taken = self._take()
+        if not taken:
+            return
+        try:
+            with self._guard:
+                self._ready()
+                seq = self._manifest.state.last_seq
+            rows, acks = [], []
+            for request in taken:
+                acks.append([])
+                for b in request.batches:
+                    for key, kind, value in b.ops:
+                        seq += 1
+                        rows.append((key, seq, kind, value))
+                    acks[-1].append(seq)
             if rows:
-                user = sum(len(r[0]) + len(r[3] or b"") for r in rows)
-                self._append(self.spark.createDataFrame(rows, SCHEMA).coalesce(1), seq, user, len(rows))
-            return acks
 
-    def write_frame(self, ops: DataFrame, *, stream: tuple[str, int] | None = None) -> int:
-        """Commit a DataFrame of op_index, key, kind, value; returns the last seq.
+                def write(path: str) -> int:
+                    layout.write_log_here(rows, path)
+                    return sum(r.size for r in taken)
 
-        Later op_index gets the later seq, so a key's last operation wins; op_index must be
-        unique. Positions are counts per range partition plus row numbers in it, never one task
-        for all. ``stream`` (name, batch id) makes the commit idempotent.
-        """
-        with self._guard:
-            self._ready()
-            state = self._manifest.state
-            if stream and state.streams.get(stream[0], -1) >= stream[1]:
-                return state.last_seq
-            number = state.next_number
-            tmp = f"{self.path}/log/staging={number}"
-            shutil.rmtree(tmp, ignore_errors=True)
-            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            rows = ops.select("op_index", F.col("key").cast("binary").alias("key"), F.col("kind").cast("int").alias("kind"), F.col("value").cast("binary").alias("value"))
-            rows.repartitionByRange(parts, "op_index").withColumn("part", F.spark_partition_id()).write.parquet(tmp)
-            staged = self.spark.read.parquet(tmp)
-            limits = staged.agg(F.max(F.octet_length("key")), F.max(F.octet_length("value")), F.count_if(F.col("key").isNull() | ~F.col("kind").isin(PUT, DELETE) | (F.col("kind") == PUT) & F.col("value").isNull())).first()
-            if (limits[0] or 0) > MAX_KEY_LEN or (limits[1] or 0) > MAX_VALUE_LEN or limits[2]:
-                shutil.rmtree(tmp)
-                raise InvalidArgument("a key, kind or value out of range")
-            counts = sorted((r[0], r[1]) for r in staged.groupBy("part").count().collect())
-            if not counts:
-                shutil.rmtree(tmp)
-                return state.last_seq
-            bases, seq = [], state.last_seq
-            for part, n in counts:
-                bases.append((part, seq))
-                seq += n
-            base = F.broadcast(self.spark.createDataFrame(bases, "part int, base long"))
-            nth = F.row_number().over(Window.partitionBy("part").orderBy("op_index"))
-            value = F.when(F.col("kind") == PUT, F.col("value"))
-            numbered = staged.join(base, "part").select("key", (F.col("base") + nth).alias("seq"), "kind", value.alias("value"))
-            user = numbered.select("key", "value").transform(byte_counts).first().user_bytes
-            self._append(numbered, seq, user, seq - state.last_seq, stream)
-            shutil.rmtree(tmp)
-            return seq
+                self._commit_log(write, seq, len(rows))
+        except Exception as e:
+            for request in taken:
+                request.answer.set_exception(e)
+            return
+        for request, seqs in zip(taken, acks, strict=True):
+            request.answer.set_result(seqs)
+        self._rotate_if_full()
+
+    def _commit_log(self, write: Callable[[str], int], last_seq: int, n: int, stream: tuple[str, int] | None = None) -> None:
+        """Write (which returns the bytes of keys and values), sync, commit. Held: ``_writing``.
 
-    def _append(self, rows: DataFrame, last_seq: int, user: int, n: int, stream: tuple[str, int] | None = None) -> None:
-        number = self._manifest.state.next_number
+        What is acknowledged is on disk, and its commit has the checksums.
+        """
+        number = self._allot()
         path = f"{self.path}/log/batch={number}"
         try:
-            shutil.rmtree(path, ignore_errors=True)  # of a write that failed before its commit
-            layout.write_log(rows, path)
-            batch = LogBatch(number, last_seq, user + ENTRY_OVERHEAD * n, path)
+            user = write(path)
+            batch = LogBatch(number, last_seq, user + ENTRY_OVERHEAD * n, path, layout.seal(self.spark, path))
             records = [{"type": "logged", "batch": asdict(batch)}]
             if stream:
                 records.append({"type": "stream", "name": stream[0], "batch_id": stream[1]})
-            self._manifest.commit(records)
+            with self._guard:
+                self._manifest.commit(records)
+                self._stats.user_bytes += user
+                self._stats.wal_bytes += user + LOG_HEADER * n
+                self._stats.log_commits += 1
+        except InvalidArgument:
+            shutil.rmtree(path, ignore_errors=True)  # refused before its commit
+            raise
         except Exception as e:
-            self._failed = str(e)[:200]
-            raise e if isinstance(e, StorePoisoned) else StoreIOError(str(e)) from e
-        self._stats.user_bytes += user
-        self._stats.wal_bytes += user + LOG_HEADER * n
-        if sum(b.mem_bytes for b in self._manifest.state.logs) >= self.options.memtable_size:
-            self.maintain()
+            raise self._fail(e) from e
+
+    def write_frame(self, ops: DataFrame, *, stream: tuple[str, int] | None = None) -> int:
+        """Commit a DataFrame of op_index, key, kind, value; returns the last seq.
+
+        Later op_index gets the later seq, so a key's last operation wins; an op_index that occurs
+        twice, or is null, is refused, as are keys, kinds and values out of range, before anything
+        is committed. Positions are counts per range partition plus row numbers in it, never one
+        task for all. ``stream`` (name, batch id) makes the commit idempotent.
+        """
+        with self._writing:
+            with self._guard:
+                self._ready()
+                state = self._manifest.state
+                last, seen = state.last_seq, state.streams.get(stream[0], -1) if stream else -1
+            if stream and seen >= stream[1]:
+                return last
+            tmp = f"{self.path}/log/staging={self._allot()}"
+            try:
+                seq = self._write_frame(ops, tmp, last, stream)
+            finally:
+                shutil.rmtree(tmp, ignore_errors=True)
+            self._rotate_if_full()
+            return seq
+
+    def _write_frame(self, ops: DataFrame, tmp: str, last: int, stream: tuple[str, int] | None) -> int:
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = ops.select("op_index", F.col("key").cast("binary").alias("key"), F.col("kind").cast("int").alias("kind"), F.col("value").cast("binary").alias("value"))
+        rows.repartitionByRange(parts, "op_index").withColumn("part", F.spark_partition_id()).write.parquet(tmp)
+        staged = self.spark.read.parquet(tmp)
+        counts = sorted((r[0], r[1]) for r in staged.groupBy("part").count().collect())  # a row a partition
+        if not counts:
+            return last
+        bases, seq = [], last
+        for part, n in counts:
+            bases.append((part, seq))
+            seq += n
+        base = F.broadcast(self.spark.createDataFrame(bases, "part int, base long"))
+        order = Window.partitionBy("part").orderBy("op_index")  # equal ones are in one part
+        staged = staged.withColumns({"nth": F.row_number().over(order), "twice": F.lag("op_index").over(order).eqNullSafe(F.col("op_index")) & (F.row_number().over(order) > 1)})
+        bad = F.col("key").isNull() | F.col("op_index").isNull() | F.col("kind").isNull() | ~F.col("kind").isin(PUT, DELETE) | (F.col("kind") == PUT) & F.col("value").isNull()
+        bad = bad | (F.octet_length("key") > MAX_KEY_LEN) | (F.coalesce(F.octet_length("value"), F.lit(0)) > MAX_VALUE_LEN)
+        value = F.when(F.col("kind") == PUT, F.col("value"))
+        numbered = staged.join(base, "part").select("key", (F.col("base") + F.col("nth")).alias("seq"), "kind", value.alias("value"), bad.alias("bad"), "twice")
+        facts = {"user": F.sum(payload().cast("long")), "bad": F.count_if(F.coalesce("bad", F.lit(True))), "twice": F.count_if("twice")}
+
+        def write(path: str) -> int:
+            # looked at while it is written: the batch is committed only if all of it is right
+            seen = Observation()
+            layout.write_log(numbered.observe(seen, *[c.alias(k) for k, c in facts.items()]), path)
+            found = seen.get
+            if found["bad"] or found["twice"]:
+                raise InvalidArgument("a key, kind or value out of range" if found["bad"] else "an op_index occurs twice")
+            return found["user"]
+
+        self._commit_log(write, seq, seq - last, stream)
+        return seq
+
+    def _freeze(self) -> None:
+        """The log so far becomes one flush; without a new batch there is nothing to freeze. Held: ``_guard``."""
+        if active := self._active():
+            self._frozen.append(active[-1].number)
+            self._changed.notify_all()
+
+    def _rotate_if_full(self) -> None:
+        """Freeze a full log, and flush it or wait while too many wait for the background. Held: ``_writing``."""
+        with self._guard:
+            if self._failed or sum(b.mem_bytes for b in self._active()) < self.options.memtable_size:
+                return
+            while self._thread and len(self._frozen) >= MAX_FROZEN and not (self._failed or self._closed):
+                self._changed.wait()
+            if self._failed or self._closed:
+                return
+            self._freeze()
+        if not self._thread:
+            # what was written stands and is acknowledged; a failure here fails the calls after it
+            with contextlib.suppress(StoreError):
+                self.maintain()
 
     # --- reads --------------------------------------------------------------------------------
 
@@ -312,74 +470,148 @@ class Store:
     # --- maintenance --------------------------------------------------------------------------
 
     def flush(self) -> int:
-        """All log batches to one level-0 file; returns its number, or the last one if none."""
+        """The log to level 0, frozen logs first; the last job's number, or the last number if none."""
         with self._guard:
             self._ready()
-            state = self._manifest.state
-            logs = list(state.logs)
-            if not logs:
-                return state.next_number - 1
-            number = state.next_number
-            path = f"{self.path}/L0/job={number}"
-            self._fatal(lambda: layout.write_runs(layout.read(self.spark, [b.path for b in logs]), path, 1))
-            files = layout.describe(self.spark, path, number)
-            self._manifest.commit([*(added(0, f) for f in files), {"type": "log_flushed", "upto": logs[-1].number}, {"type": "next_number", "value": number + len(files)}])
-            self._stats.flush_bytes += sum(f.size for f in files)
-            self._garbage.update(b.path for b in logs)
-            self._collect_garbage()
-            return number
-
-    def _fatal(self, step) -> None:
+            self._freeze()
+        done = None
+        with self._work:
+            while True:
+                with self._guard:
+                    self._ready()
+                    if not self._frozen:
+                        return self._next - 1 if done is None else done
+                done = self._flush_oldest()
+
+    def _sized(self, size: int) -> int:
+        return max(1, -(-size // self.options.target_file_size))
+
+    def _flush_oldest(self) -> int:
+        """All versions of the oldest frozen log, as files of disjoint keys. Held: ``_work``."""
+        with self._guard:
+            upto = self._frozen[0]
+            logs = [b for b in self._manifest.state.logs if b.number <= upto]
+        number = self._allot()
+        path = f"{self.path}/L0/job={number}"
         try:
-            step()
+            held = [f for b in logs for f in b.files]
+            rows = layout.read(self.spark, [b.path for b in logs])
+            layout.write_runs(rows, path, self._sized(sum(f.size for f in held)), sum(f.rows for f in held))
+            layout.sync(path)
+            found = layout.describe(self.spark, path)
+            with self._guard:
+                files = self._numbered(found)
+                self._manifest.commit([*(added(0, f) for f in files), {"type": "log_flushed", "upto": upto}, {"type": "next_number", "value": self._next}])
+                self._frozen.pop(0)
+                self._stats.flush_bytes += sum(f.size for f in files)
+                self._stats.flush_payload += sum(f.payload for f in files)
+                self._garbage.update(b.path for b in logs)
+                self._changed.notify_all()
         except Exception as e:
-            self._failed = str(e)[:200]
-            raise StoreIOError(str(e)) from e
+            raise self._fail(e) from e
+        self._collect_garbage()
+        return number
+
+    def _numbered(self, found: list[FileMeta]) -> list[FileMeta]:
+        first = self._allot(len(found))
+        return [replace(f, number=first + f.number) for f in found]
 
     def _run(self, plan: Plan) -> None:
-        state = self._manifest.state
-        inputs = [f for level, number in plan.inputs for f in state.levels[level] if f.number == number]
-        tagged = layout.read(self.spark, [f.path for f in inputs]).withColumn("src", F.lit(0))
-        bottom = may_drop_deletes(state.levels, inputs, plan.target)
-        rows = retain(merge_tagged(tagged).drop("src"), self.oldest_snapshot(), bottom=bottom)
-        path = f"{self.path}/L{plan.target}/job={state.next_number}"
-        files = max(1, -(-sum(f.size for f in inputs) // self.options.target_file_size))
-        self._fatal(lambda: layout.write_runs(rows, path, files))
-        outputs = layout.describe(self.spark, path, state.next_number)
-        number = state.next_number + max(1, len(outputs))
-        self._manifest.commit(
-            [
-                *(added(plan.target, f) for f in outputs),
-                *({"type": "deleted", "level": level, "number": n} for level, n in plan.inputs),
-                {"type": "next_number", "value": number},
-            ]
-        )
-        self._stats.compaction_bytes += sum(f.size for f in outputs)
-        self._garbage.update(f.path for f in inputs)
+        """Held: ``_work``."""
+        with self._guard:
+            levels = self._manifest.state.levels
+            inputs = [f for level, number in plan.inputs for f in levels[level] if f.number == number]
+            bottom, oldest = may_drop_deletes(levels, inputs, plan.target), self.oldest_snapshot()
+        path = f"{self.path}/L{plan.target}/job={self._allot()}"
+        try:
+            tagged = layout.read(self.spark, [f.path for f in inputs]).withColumn("src", F.lit(0))
+            rows = retain(merge_tagged(tagged).drop("src"), oldest, bottom=bottom)
+            layout.write_runs(rows, path, self._sized(sum(f.size for f in inputs)), sum(f.entries for f in inputs))
+            layout.sync(path)
+            found = layout.describe(self.spark, path)
+            with self._guard:
+                outputs = self._numbered(found)
+                gone = ({"type": "deleted", "level": level, "number": n} for level, n in plan.inputs)
+                self._manifest.commit([*(added(plan.target, f) for f in outputs), *gone, {"type": "next_number", "value": self._next}])
+                self._stats.compaction_bytes += sum(f.size for f in outputs)
+                self._stats.compaction_payload += sum(f.payload for f in outputs)
+                self._garbage.update(f.path for f in inputs)
+                self._changed.notify_all()
+        except Exception as e:
+            raise self._fail(e) from e
         self._collect_garbage()
 
+    def _plan(self) -> Plan | None:
+        with self._guard:
+            self._ready()
+            return pick(self._manifest.state.levels, self.options)
+
     def maintain(self) -> None:
         """Flush, then all rewrites that sizes call for."""
-        with self._guard:
-            self.flush()
-            while plan := pick(self._manifest.state.levels, self.options):
+        self.flush()
+        with self._work:
+            while plan := self._plan():
                 self._run(plan)
 
     def compact(self) -> None:
         """Everything to the last level, in one rewrite. What a reader sees doesn't change."""
-        with self._guard:
-            self.flush()
-            levels, last = self._manifest.state.levels, self.options.max_levels - 1
-            upper = [(n, f) for n, files in enumerate(levels[:last]) for f in files]
-            if upper:
+        self.flush()
+        with self._work:
+            with self._guard:
+                self._ready()
+                levels, last = self._manifest.state.levels, self.options.max_levels - 1
+                upper = [(n, f) for n, files in enumerate(levels[:last]) for f in files]
+                if not upper:
+                    return
                 lo, hi = hull([f for _, f in upper])
                 below = overlapping(levels[last] if len(levels) > last else [], lo, hi)
-                self._run(Plan(tuple((n, f.number) for n, f in upper) + tuple((last, f.number) for f in below), last))
+            self._run(Plan(tuple((n, f.number) for n, f in upper) + tuple((last, f.number) for f in below), last))
+
+    def _background(self) -> None:
+        """Frozen logs oldest first, then rewrites, until the store is closed or fails."""
+        while True:
+            with self._guard:
+                while not (self._closed or self._failed or self._frozen or pick(self._manifest.state.levels, self.options)):
+                    self._changed.wait()
+                if self._closed or self._failed:
+                    return
+                self._busy = True
+            with contextlib.suppress(StoreError), self._work:
+                if self._frozen:
+                    self._flush_oldest()
+                elif plan := self._plan():
+                    self._run(plan)
+            with self._guard:
+                self._busy = False
+                self._changed.notify_all()
+
+    def wait_idle(self, timeout: float | None = None) -> bool:
+        """Until the background has nothing to do; whether it has come to that."""
+        with self._guard:
+            return self._changed.wait_for(lambda: bool(self._failed or self._closed) or self._idle(), timeout)
+
+    def _idle(self) -> bool:
+        return not (self._frozen or self._busy or pick(self._manifest.state.levels, self.options))
+
+    def verify(self) -> int:
+        """Check the order of all sorted files and the bytes of the log; how many files there are."""
+        with self.snapshot():
+            with self._guard:
+                files = [f for level in self._manifest.state.levels for f in level]
+                logs = list(self._manifest.state.logs)
+            for f in files:
+                layout.validate(f)
+            layout.validate_logs(self.spark, logs)
+            if files and (bad := layout.out_of_order(self.spark, [f.path for f in files]).first()):
+                raise DataFileCorrupt(f"{bad.file}: row {bad.row_index} is out of order")
+            return len(files) + sum(len(b.files) for b in logs)
 
     def _collect_garbage(self, *, everything: bool = False) -> None:
-        held = set() if everything else {p for s in self._snapshots.values() for p in s._paths}
-        for path in [p for p in self._garbage if p not in held]:
-            self._garbage.discard(path)
+        with self._guard:
+            held = set() if everything else {p for s in self._snapshots.values() for p in s._paths}
+            free = [p for p in self._garbage if p not in held]
+            self._garbage.difference_update(free)
+        for path in free:
             shutil.rmtree(path, ignore_errors=True) if os.path.isdir(path) else os.path.exists(path) and os.remove(path)
             folder = os.path.dirname(path)
             if os.path.basename(folder).startswith("job=") and os.path.isdir(folder) and not any(f.endswith(".parquet") and not f.startswith(".") for f in os.listdir(folder)):
@@ -392,7 +624,7 @@ class Store:
             self._stats.level_files = [len(files) for files in state.levels]
             self._stats.level_bytes = [sum(f.size for f in files) for files in state.levels]
             self._stats.memtable_bytes = sum(b.mem_bytes for b in state.logs)
-            self._stats.background_idle = pick(state.levels, self.options) is None
+            self._stats.background_idle = self._idle()
             return Stats(**asdict(self._stats))
 
     def files(self) -> list[list[FileMeta]]:
