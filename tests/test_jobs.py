@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import jobs as J
 from tidemark.options import Options
@@ -86,6 +87,57 @@ def test_purge_export_maintenance(queue, tmp_path):
     assert after.memtable_bytes == 0 and after.compaction_bytes >= before.compaction_bytes and consistent(queue)
 
 
+def test_one_rule_for_one_job_and_for_many(spark):
+    """Columns and values give the same record after each event."""
+    rows = [J.Job(i, "k", None, "running", i % 4, 1 + i % 3, i, 50 + i, 1, 2, None if i % 2 else "old") for i in range(12)]
+    df = spark.createDataFrame([tuple({**vars(j), "payload": "null"}.values()) for j in rows], J.RECORD)
+    for event, options in (("claim", {"lease_ms": 7}), ("complete", {}), ("fail", {"error": "e"})):
+        got = {r.id: r.asDict() for r in J.applied(df, event, 99, **options).collect()}
+        for j in rows:
+            want = vars(j) | {"payload": "null"} | J.changed(event, vars(j), 99, **options)
+            assert got[j.id] == want
+    assert J.changed("claim", vars(rows[0]), J.U64_MAX, lease_ms=5)["lease_until"] == J.U64_MAX
+
+
+def test_bulk_load_and_export(spark, queue, tmp_path):
+    """Loaded jobs are as if enqueued one by one, and are exported in id order."""
+    df = spark.range(1, 41).select("id", F.lit("mail").alias("kind"), F.concat(F.lit('{"n":'), F.col("id").cast("string"), F.lit(',"s":"é"}')).alias("payload"), F.when(F.col("id") % 2 == 0, "pending").otherwise("done").alias("status"), F.lit(0).alias("attempts"), F.lit(3).alias("max_attempts"), F.lit(0).cast("long").alias("claim_token"), F.lit(None).cast("long").alias("lease_until"), F.lit(1).cast("long").alias("created_at"), F.lit(1).cast("long").alias("updated_at"), F.lit(None).cast("string").alias("last_error"))
+    assert queue.load(df) == 40 and queue.load(df.limit(0)) == 0 and consistent(queue)
+    assert queue.get(7) == J.Job(7, "mail", {"n": 7, "s": "é"}, "done", created_at=1, updated_at=1) and queue.enqueue("x", {}, 5).id == 41
+    assert queue.claim(10, 10).id == 2 and queue.requeue_expired(20) == 1
+    assert queue.export(str(tmp_path / "out")) == 41
+    lines = [json.loads(line) for part in sorted((tmp_path / "out").glob("part-*")) for line in part.read_text().splitlines()]
+    assert [r["id"] for r in lines] == list(range(1, 42)) and list(lines[0]) == list(vars(J.Job(1, "", None)))
+
+
+def test_unknown_status_is_refused(queue):
+    assert [J.parse_status(s) for s in ("pending", "running", "done", "dead")] == list(J.STATUSES)
+    for call in (lambda: J.parse_status("Done"), lambda: queue.list("gone"), lambda: queue.purge("", 1)):
+        with pytest.raises(ValueError, match="unknown status"):
+            call()
+
+
+def test_stats_view(queue):
+    queue.enqueue("x", {}, 0)
+    queue.store.flush()
+    view = json.loads(json.dumps(J.stats_view(queue.store.stats())))
+    assert view["disk_bytes"] == view["flush_bytes"] > 0 and view["write_amplification"] > 1 and view["level_files"] == [1] and view["background_idle"]
+
+
+def test_sweeper(queue):
+    import threading
+
+    queue.enqueue("x", {}, 0)
+    queue.claim(10, 0)
+    stop = threading.Event()
+
+    def clock():
+        stop.set()
+        return 10
+
+    assert queue.sweep(stop, clock, every=0.01) == 1 and queue.get(1).status == "pending"
+
+
 def test_too_large_takes_no_id(queue):
     with pytest.raises(J.PayloadTooLarge):
         queue.enqueue("x", "y" * J.MAX_RECORD_BYTES, 0)

@@ -1,20 +1,22 @@
 """A durable job queue on a store: records, a status index, and reports on snapshots.
 
-Single-job calls are read-modify-write under one lock; transitions of many jobs at once are
-DataFrame transforms, written as one atomic batch.
+What an event does to a job is said once, by :func:`changed`, over columns or over one record's
+values. Many jobs change by a DataFrame transform, one by a read-modify-write under a lock; either
+is written as one atomic batch.
 """
 
 from __future__ import annotations
 
 import json
 import threading
-from dataclasses import asdict, dataclass
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .functions.keys import NEXT_ID, STATUSES, job_key, job_key_bytes, status_key, status_key_bytes
+from .functions.keys import INDEX, JOB, NEXT_ID, STATUSES, job_key, job_key_bytes, status_key, status_key_bytes
 from .operators.bounds import prefix_range
 from .operators.oplog import DELETE, PUT
 from .store import Snapshot, Stats, Store, WriteBatch
@@ -25,7 +27,9 @@ DEFAULT_ATTEMPTS = 3
 LIST_LIMIT = 1000
 DEFAULT_LIST = 50
 DEFAULT_LEASE_MS = 30_000
+SWEEP_SECONDS = 5.0
 U64_MAX = (1 << 64) - 1
+LONG_MAX = (1 << 63) - 1
 LEASE_EXPIRED = "lease expired"
 
 RECORD = (
@@ -54,6 +58,13 @@ class PayloadTooLarge(JobError):
     pass
 
 
+def parse_status(text: str) -> str:
+    """One of the four names, as it is written; anything else is an error."""
+    if text not in STATUSES:
+        raise ValueError(f"unknown status {text!r}: not one of {', '.join(STATUSES)}")
+    return text
+
+
 @dataclass
 class Job:
     id: int
@@ -76,21 +87,42 @@ class Job:
         return Job(**json.loads(raw))
 
 
-# --- set-based transitions over job tables -----------------------------------------------------
+# --- transitions, of one job or of many ----------------------------------------------------------
+
+
+def _choose(test: Any, then: Any, other: Any) -> Any:
+    return F.when(test, then).otherwise(other) if isinstance(test, Column) else then if test else other
+
+
+def _least(a: Any, b: Any) -> Any:
+    return F.least(a, F.lit(b)) if isinstance(a, Column) else min(a, b)
+
+
+def changed(event: str, job: Mapping[str, Any], now: Any, *, lease_ms: int = DEFAULT_LEASE_MS, error: str | None = None) -> dict[str, Any]:
+    """The fields that an event (claim, complete or fail) changes; ``job`` holds values or columns.
+
+    A claim gives the next token and a lease. A failure is one more attempt: dead once attempts
+    reach their maximum, else pending again.
+    """
+    if event == "claim":
+        most = LONG_MAX if isinstance(job["id"], Column) else U64_MAX  # what a column, or the record, can hold
+        return {"status": "running", "claim_token": job["claim_token"] + 1, "lease_until": _least(now + lease_ms, most), "updated_at": now}
+    if event == "complete":
+        return {"status": "done", "lease_until": None, "updated_at": now}
+    tried = job["attempts"] + 1
+    return {"attempts": tried, "status": _choose(tried >= job["max_attempts"], "dead", "pending"), "lease_until": None, "last_error": error, "updated_at": now}
+
+
+def applied(jobs: DataFrame, event: str, now: int | Column, **options: Any) -> DataFrame:
+    """``jobs`` after the event, all columns kept."""
+    now = F.lit(now).cast("long") if isinstance(now, int) else now
+    found = changed(event, {c: F.col(c) for c in jobs.columns}, now, **options)
+    typed = {"lease_until": "long", "last_error": "string"}
+    return jobs.withColumns({k: (v if isinstance(v, Column) else F.lit(v)).cast(typed[k]) if k in typed else v if isinstance(v, Column) else F.lit(v) for k, v in found.items()})
 
 
 def failed(jobs: DataFrame, now: int | Column, error: str) -> DataFrame:
-    """One more attempt; dead once attempts reach the maximum, else pending again."""
-    tried = F.col("attempts") + 1
-    return jobs.withColumns(
-        {
-            "attempts": tried,
-            "status": F.when(tried >= F.col("max_attempts"), "dead").otherwise("pending"),
-            "lease_until": F.lit(None).cast("long"),
-            "last_error": F.lit(error),
-            "updated_at": F.lit(now).cast("long") if isinstance(now, int) else now,
-        }
-    )
+    return applied(jobs, "fail", now, error=error)
 
 
 def expired(jobs: DataFrame, now: int) -> DataFrame:
@@ -172,50 +204,63 @@ class JobStore:
         raw = self.store.get(job_key_bytes(id_))
         return Job.decode(raw) if raw is not None else None
 
-    def _moved(self, before: str, job: Job) -> Job:
-        batch = WriteBatch().delete(status_key_bytes(before, job.id)).put(status_key_bytes(job.status, job.id), b"")
-        self.store.write_batch(batch.put(job_key_bytes(job.id), job.encode()))
-        return job
+    def _move(self, job: Job, event: str, now: int, **options: Any) -> Job:
+        """Apply the event: record and index entry in one batch."""
+        after = replace(job, **changed(event, asdict(job), now, **options))
+        batch = WriteBatch().delete(status_key_bytes(job.status, job.id)).put(status_key_bytes(after.status, job.id), b"")
+        self.store.write_batch(batch.put(job_key_bytes(job.id), after.encode()))
+        return after
+
+    def _finish(self, id_: int, token: int, event: str, now: int, **options: Any) -> Job:
+        """Only the holder of the latest claim may, and only while the job runs.
+
+        In this order: the job must be there, under that claim, and running.
+        """
+        with self._write:
+            job = self.get(id_)
+            found = NotFound(id_) if job is None else LeaseLost(id_) if job.claim_token != token else None
+            if found is None and job.status != "running":
+                found = InvalidState(f"{id_} is {job.status}")
+            if found:
+                raise found
+            return self._move(job, event, now, **options)
 
     def claim(self, lease_ms: int, now: int) -> Job | None:
         """The pending job of the lowest id becomes running under a new token."""
         with self._write, self.store.snapshot() as s:
-            head = s.scan(prefix_range(status_key_bytes("pending", 0)[:-16])).limit(1).collect()
-            if not head:
+            head = s.scan(prefix_range(f"{INDEX}pending/".encode())).select("key").first()
+            if head is None:
                 return None
-            job = self._known(int(bytes(head[0].key)[-16:], 16))
-            job.status, job.claim_token = "running", job.claim_token + 1
-            job.lease_until, job.updated_at = min(now + lease_ms, U64_MAX), now
-            return self._moved("pending", job)
-
-    def _known(self, id_: int) -> Job:
-        job = self.get(id_)
-        if job is None:
-            raise NotFound(id_)
-        return job
-
-    def _owned(self, id_: int, token: int) -> Job:
-        """Checked in this order: there, the same claim, still running."""
-        job = self._known(id_)
-        if job.claim_token != token:
-            raise LeaseLost(id_)
-        if job.status != "running":
-            raise InvalidState(f"{id_} is {job.status}")
-        return job
+            id_ = int(bytes(head.key)[-16:], 16)
+            raw = s.get(job_key_bytes(id_))
+            if raw is None:
+                raise NotFound(id_)
+            return self._move(Job.decode(raw), "claim", now, lease_ms=lease_ms)
 
     def complete(self, id_: int, token: int, now: int) -> Job:
-        with self._write:
-            job = self._owned(id_, token)
-            job.status, job.lease_until, job.updated_at = "done", None, now
-            return self._moved("running", job)
+        return self._finish(id_, token, "complete", now)
 
     def fail(self, id_: int, token: int, error: str, now: int) -> Job:
+        return self._finish(id_, token, "fail", now, error=error)
+
+    def load(self, jobs: DataFrame) -> int:
+        """Bulk load of columns as in ``RECORD`` (payload is JSON text): records, index and the next id.
+
+        One atomic batch; ids must be new. Returns how many.
+        """
         with self._write:
-            job = self._owned(id_, token)
-            job.attempts += 1
-            job.status = "dead" if job.attempts >= job.max_attempts else "pending"
-            job.lease_until, job.last_error, job.updated_at = None, error, now
-            return self._moved("running", job)
+            puts = F.array(
+                F.struct(job_key(F.col("id")).cast("binary").alias("key"), record().cast("binary").alias("value")),
+                F.struct(status_key(F.col("status"), F.col("id")).cast("binary").alias("key"), F.lit(b"").alias("value")),
+            )
+            rows = jobs.select("id", F.posexplode(puts).alias("n", "put")).select(F.struct("id", "n").alias("op_index"), "put.key", "put.value")
+            n, top = jobs.agg(F.count(F.lit(1)), F.max("id")).first()
+            if not n:
+                return 0
+            after = max(self._next_id(), top + 1).to_bytes(8, "big")
+            last = jobs.sparkSession.range(1).select(F.struct((F.lit(top) + 1).cast("long").alias("id"), F.lit(0).alias("n")).alias("op_index"), F.lit(NEXT_ID.encode()).alias("key"), F.lit(after).alias("value"))
+            self.store.write_frame(rows.union(last).withColumn("kind", F.lit(PUT)))
+            return n
 
     def records(self, snapshot: Snapshot) -> DataFrame:
         """All records as columns; payload is its JSON text."""
@@ -231,11 +276,7 @@ class JobStore:
         """All expired leases count as failed attempts, in one batch. Returns how many."""
         with self._write, self.store.snapshot() as s:
             rows = failed(expired(self.records(s), now), now, LEASE_EXPIRED)
-            merged = F.to_json(F.struct(*[F.col(c) for c in ("id", "kind", "status", "attempts", "max_attempts", "claim_token", "lease_until", "created_at", "updated_at", "last_error")]), {"ignoreNullFields": "false"})
-            # the payload keeps its own JSON: it is put in as text, not as a string
-            record = F.concat(F.substring(merged, F.lit(1), F.length(merged) - 1), F.lit(',"payload":'), _payload(), F.lit("}"))
-            ops = moves(rows, F.lit("running"), record)
-            return self._write_moves(ops)
+            return self._write_moves(moves(rows.withColumn("payload", _payload()), F.lit("running"), record()))
 
     def _write_moves(self, ops: DataFrame) -> int:
         ops = ops.withColumn("op_index", F.struct("id", F.when(F.col("op") == "delete", 0).otherwise(1), "key"))
@@ -244,6 +285,7 @@ class JobStore:
         return (self.store.write_frame(frame) - before) // 3
 
     def list(self, status: str, limit: int = DEFAULT_LIST) -> list[Job]:
+        parse_status(status)
         with self.store.snapshot() as s:
             rows = listed(self.index(s), self.records(s), status, limit).orderBy("id").collect()
             return [Job.decode(r.record.encode()) for r in rows]
@@ -262,14 +304,23 @@ class JobStore:
                 own.release()
 
     def export(self, path: str) -> int:
-        """One JSON record a line, in id order; returns how many."""
+        """One JSON record a line, in id order over the files as they are named; returns how many."""
         with self.store.snapshot() as s:
-            rows = s.scan(prefix_range(b"job/")).select(F.col("value").cast("string").alias("value"))
-            rows.write.mode("overwrite").text(path)
-            return self.store.spark.read.text(path).count()
+            rows = s.scan(prefix_range(JOB.encode())).select(F.col("value").cast("string").alias("value"))
+            seen = Observation()
+            rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(path)
+            return seen.get["n"]
+
+    def sweep(self, stop: threading.Event, clock, every: float = SWEEP_SECONDS) -> int:
+        """Requeue expired leases now and then until ``stop`` is set; how many in all."""
+        total = 0
+        while not stop.wait(every):
+            total += self.requeue_expired(clock())
+        return total
 
     def purge(self, status: str, older_than: int) -> int:
         """Delete record and index entry of old jobs, all in one batch."""
+        parse_status(status)
         with self._write, self.store.snapshot() as s:
             rows = purgeable(self.records(s), status, older_than)
             keys = rows.select("id", F.explode(F.array(job_key(F.col("id")), status_key(F.col("status"), F.col("id")))).alias("key"))
@@ -285,6 +336,20 @@ class JobStore:
         return before, self.store.stats()
 
 
+def record() -> Column:
+    """The JSON of a job's columns, as :meth:`Job.encode` writes it. The payload is JSON text already."""
+    plain = lambda names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    head, tail = plain(["id", "kind"]), plain(["status", "attempts", "max_attempts", "claim_token", "lease_until", "created_at", "updated_at", "last_error"])
+    inside = lambda c: F.substring(c, F.lit(2), F.length(c) - 2)
+    return F.concat(F.lit("{"), inside(head), F.lit(',"payload":'), F.coalesce("payload", F.lit("null")), F.lit(","), inside(tail), F.lit("}"))
+
+
 def _payload() -> Column:
     """The payload's JSON as the record has it."""
     return F.coalesce(F.to_json(F.variant_get(F.parse_json("record"), "$.payload", "variant")), F.lit("null"))
+
+
+def stats_view(stats: Stats) -> dict[str, Any]:
+    """Statistics as plain values, ready for JSON."""
+    plain = asdict(stats)
+    return plain | {"disk_bytes": stats.flush_bytes + stats.compaction_bytes, "write_amplification": stats.write_amplification()}
