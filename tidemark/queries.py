@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jobs as J
@@ -17,6 +14,12 @@ from .functions import accounting, keys
 from .operators import asof as A
 from .operators import merge, oplog, retention
 from .operators.bounds import Range, prefix_range_text, scan
+from .options import Options
+from .plans.compaction import hull, overlapping
+from .sources import layout
+from .staging import new_path, stage
+from .store import Store
+from .streaming import ingest
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -46,8 +49,6 @@ LOG = """log AS (
   FROM events
 ), s AS (SELECT max(seq) AS head, max(seq) // 2 AS mid FROM log)"""
 
-#: Versions per generation, as a flushed file has them.
-GENERATION = 1000
 NOW = 200
 
 
@@ -111,13 +112,13 @@ def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.get(rows, "user/0000000005", head(rows) // 2)
 
 
-@query(f"""WITH {LOG}, p(key) AS (VALUES ('user/0000000001'), ('user/0000000002'), ('user/0000000003'), ('user/0000000004'), ('user/0000000005'),
-  ('user/0000000006'), ('user/0000000007'), ('user/0000000008'), ('user/0000000009'), ('user/absent')),
+@query(f"""WITH {LOG}, p AS (SELECT 'user/' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS key FROM customer),
 n AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
 SELECT p.key, CASE WHEN kind IS NULL THEN 'absent' WHEN kind = 0 THEN 'delete' ELSE 'put' END AS outcome, value FROM p LEFT JOIN n ON p.key = n.key""")
 def get_three_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes = spark.createDataFrame([(f"user/{i:010d}",) for i in range(1, 10)] + [("user/absent",)], "key string")
-    return A.lookup(log(spark, sf_dir), probes)
+    """Every customer's key: some were never users."""
+    id_ = F.lpad(F.col("c_custkey").cast("string"), 10, "0")
+    return A.lookup(log(spark, sf_dir), table(spark, sf_dir, "customer").select(F.concat(F.lit("user/"), id_).alias("key")))
 
 
 def _ranged(name: str, bounds: Range, where: str) -> None:
@@ -142,21 +143,25 @@ def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oplog.history(log(spark, sf_dir), "user/0000000003")
 
 
-@query(f"WITH {LOG} SELECT key, seq, kind FROM log WHERE key >= 'user/0000000010'")
+@query(f"WITH {LOG} SELECT key, seq, kind, value FROM log WHERE key >= 'user/0000000010'")
 def iter_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return oplog.in_order(Range("user/0000000010", None).apply(log(spark, sf_dir))).select("key", "seq", "kind")
+    """All versions from a key on, in order, of a store's files."""
+    store = _stored(spark, sf_dir, 2)
+    rows = oplog.in_order(Range(b"user/0000000010", None).apply(store.snapshot().log()))
+    return rows.select(F.col("key").cast("string").alias("key"), "seq", "kind", F.col("value").cast("string").alias("value"))
 
 
-@query(f"WITH {LOG} SELECT key, seq, kind FROM log")
+@query(f"WITH {LOG} SELECT key, seq, kind, value FROM log")
 def iter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return oplog.in_order(log(spark, sf_dir)).select("key", "seq", "kind")
+    return oplog.in_order(log(spark, sf_dir))
 
 
-@query(f"""WITH {LOG} SELECT probe_seq, p.key, l.value FROM (SELECT seq - 1 AS probe_seq, key FROM log WHERE seq % 7 = 0) p
+@query(f"""WITH {LOG} SELECT probe_seq, p.key, l.value FROM (SELECT seq - 1 AS probe_seq, key FROM log) p
 ASOF JOIN log l ON p.key = l.key AND p.probe_seq >= l.seq WHERE l.kind = 1""")
 def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each operation's key held just before it."""
     rows = log(spark, sf_dir)
-    return A.asof_join(rows.filter("seq % 7 = 0").select((F.col("seq") - 1).alias("probe_seq"), "key"), rows)
+    return A.asof_join(rows.select((F.col("seq") - 1).alias("probe_seq"), "key"), rows)
 
 
 # --- merge, retention --------------------------------------------------------------------------
@@ -205,33 +210,65 @@ def gc_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(retention.watermark([top // 2, top], top),)], "watermark long")
 
 
-# --- files and bytes ---------------------------------------------------------------------------
+# --- files and bytes, of real stores -------------------------------------------------------------
 
-GENS = f"gens AS (SELECT (seq - 1) // {GENERATION} AS gen, min(key) AS smallest, max(key) AS largest, count(*) AS entries, max(seq) AS max_seq FROM log GROUP BY 1)"
+#: Batches that the log comes in; each is flushed to one file.
+BATCHES = 4
+_OPTIONS = Options(memtable_size=1 << 40, target_file_size=1 << 40)
 
 
-def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = log(spark, sf_dir).withColumn("gen", F.floor((F.col("seq") - 1) / GENERATION))
-    return accounting.summary(rows, "gen")
+def _folder(spark: SparkSession) -> str:
+    """A new folder for a store, where all executors can write."""
+    return new_path(spark, "store").removeprefix("file://").removeprefix("file:")
+
+
+def _stored(spark: SparkSession, sf_dir: str, batches: int = BATCHES, *, compact_after: int | None = None) -> Store:
+    """A store that got the log in so many batches, with a flush after each."""
+    store = Store.open(spark, _folder(spark), _OPTIONS)
+    rows = log(spark, sf_dir).withColumnRenamed("seq", "op_index")
+    top = head(log(spark, sf_dir))
+    for n in range(batches):
+        store.write_frame(rows.filter((F.col("op_index") > top * n // batches) & (F.col("op_index") <= top * (n + 1) // batches)))
+        store.flush()
+        if n == compact_after:
+            store.compact()
+    return store
+
+
+def _file_rows(spark: SparkSession, store: Store) -> DataFrame:
+    """A row for each file of the store, from its manifest; gen counts the files of a level, oldest first."""
+    rows = [
+        (level, n, f.smallest.decode(), f.largest.decode(), f.entries, f.max_seq, f.payload)
+        for level, files in enumerate(store.files())
+        for n, f in enumerate(sorted(files, key=lambda f: f.number))
+    ]
+    return spark.createDataFrame(rows, "level long, gen long, smallest string, largest string, entries long, max_seq long, payload long")
+
+
+GENS = f"""g AS (SELECT *, (SELECT min(k) FROM range({BATCHES}) t(k) WHERE seq <= head * (k + 1) // {BATCHES}) AS gen FROM log, s),
+gens AS (SELECT gen, min(key) AS smallest, max(key) AS largest, count(*) AS entries, max(seq) AS max_seq FROM g GROUP BY 1)"""
 
 
 @query(f"WITH {LOG}, {GENS} SELECT * FROM gens")
 def flush_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generations(spark, sf_dir)
+    """What the store recorded of each file that it flushed."""
+    with _stored(spark, sf_dir) as store:
+        return _file_rows(spark, store).select("gen", "smallest", "largest", "entries", "max_seq")
 
 
 @query(f"WITH {LOG}, {GENS} SELECT a.gen AS a_gen, b.gen AS b_gen FROM gens a JOIN gens b ON a.gen < b.gen AND a.smallest <= b.largest AND b.smallest <= a.largest")
 def file_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = generations(spark, sf_dir).select(F.col("gen").alias("a_gen"), F.col("smallest").alias("a_lo"), F.col("largest").alias("a_hi"))
-    two = one.select(F.col("a_gen").alias("b_gen"), F.col("a_lo").alias("b_lo"), F.col("a_hi").alias("b_hi"))
-    # a row per file: a table of files, not of data
-    met = (F.col("a_gen") < F.col("b_gen")) & (F.col("a_lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("a_hi"))
-    return one.join(two, met).select("a_gen", "b_gen")
+    """Pairs of the store's files that may hold the same key, by the picker's test."""
+    with _stored(spark, sf_dir) as store:
+        files = sorted(store.files()[0], key=lambda f: f.number)
+    met = [(i, j) for i, f in enumerate(files) for j in range(i + 1, len(files)) if overlapping([files[j]], f.smallest, f.largest)]
+    return spark.createDataFrame(met, "a_gen long, b_gen long")
 
 
 @query(f"WITH {LOG}, {GENS} SELECT min(smallest) AS smallest, max(largest) AS largest FROM gens")
 def key_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generations(spark, sf_dir).agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
+    with _stored(spark, sf_dir) as store:
+        return spark.createDataFrame([tuple(k.decode() for k in hull(store.files()[0]))], "smallest string, largest string")
 
 
 _BYTES = """SELECT CAST(sum(strlen(key) + coalesce(strlen(value), 0)) AS BIGINT) AS user_bytes,
@@ -243,18 +280,35 @@ def byte_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounting.byte_counts(log(spark, sf_dir))
 
 
-@query(f"""WITH {LOG}, f AS (SELECT (seq - 1) // {GENERATION} AS gen, CAST(sum(strlen(key) + coalesce(strlen(value), 0)) AS BIGINT) AS size FROM log GROUP BY 1)
-SELECT gen % 3 AS level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY 1""")
+#: The log by halves: what a rewrite of the first half keeps, and the second half as it came.
+_HALVES = f"""{LOG}, kept AS (SELECT key, value FROM {_live('mid')}), rest AS (SELECT key, value FROM log, s WHERE seq > mid)"""
+_SIZE = "coalesce(CAST(sum(strlen(key) + coalesce(strlen(value), 0)) AS BIGINT), 0)"
+
+
+def _halved(spark: SparkSession, sf_dir: str) -> Store:
+    return _stored(spark, sf_dir, 2, compact_after=0)
+
+
+@query(f"""WITH {_HALVES}, l AS (SELECT 0 AS level, CAST(1 AS BIGINT) AS files, count(*) AS entries, {_SIZE} AS bytes FROM rest UNION ALL SELECT 6, 1, count(*), {_SIZE} FROM kept)
+SELECT n AS level, coalesce(files, 0) AS files, CAST(coalesce(entries, 0) AS BIGINT) AS entries, coalesce(bytes, 0) AS bytes FROM range(7) t(n) LEFT JOIN l ON n = level""")
 def level_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = log(spark, sf_dir).withColumn("gen", F.floor((F.col("seq") - 1) / GENERATION))
-    files = rows.groupBy("gen").agg(F.sum(accounting.payload().cast("long")).alias("size"))
-    return files.groupBy((F.col("gen") % 3).alias("level")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    """Files, rows and bytes (of keys and values) of each level, emptied ones too."""
+    with _halved(spark, sf_dir) as store:
+        files, levels = _file_rows(spark, store), spark.range(len(store.files())).withColumnRenamed("id", "level")
+    sums = files.groupBy("level").agg(F.count(F.lit(1)).alias("files"), F.sum("entries").alias("entries"), F.sum("payload").alias("bytes"))
+    return levels.join(sums, "level", "left").na.fill(0)
 
 
-@query(f"WITH {LOG}, b AS ({_BYTES}) SELECT CASE WHEN user_bytes = 0 THEN 0.0 ELSE (wal_bytes + mem_bytes) / CAST(user_bytes AS DOUBLE) END AS write_amp FROM b")
+@query(f"""WITH {_HALVES}, b AS ({_BYTES}), k AS (SELECT {_SIZE} AS kept_bytes FROM kept)
+SELECT user_bytes, wal_bytes, user_bytes AS flush_bytes, kept_bytes AS compaction_bytes,
+  CASE WHEN user_bytes = 0 THEN 0.0 ELSE (wal_bytes + user_bytes + kept_bytes) / CAST(user_bytes AS DOUBLE) END AS write_amp FROM b, k""")
 def write_amp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = accounting.byte_counts(log(spark, sf_dir))
-    return b.select(accounting.amplification((F.col("wal_bytes") + F.col("mem_bytes")).cast("double"), F.col("user_bytes")).alias("write_amp"))
+    """(log + flush + compaction) / user bytes as the store counted them, before compression."""
+    with _halved(spark, sf_dir) as store:
+        t = store.stats()
+    row = spark.createDataFrame([(t.user_bytes, t.wal_bytes, t.flush_payload, t.compaction_payload)], "user_bytes long, wal_bytes long, flush_bytes long, compaction_bytes long")
+    written = (F.col("wal_bytes") + F.col("flush_bytes") + F.col("compaction_bytes")).cast("double")
+    return row.withColumn("write_amp", accounting.amplification(written, F.col("user_bytes")))
 
 
 @query("""WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL), p(p) AS (VALUES (0.5::DOUBLE), (0.99::DOUBLE), (0.999::DOUBLE))
@@ -316,16 +370,28 @@ def purge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.purgeable(jobs(spark, sf_dir), "done", NOW).select("id", "status", "attempts")
 
 
-@query(f"""WITH {JOBS}, h AS (SELECT id, status, lpad(lower(to_hex(id)), 16, '0') AS x FROM jobs WHERE status = 'done')
-SELECT id, 'delete' AS op, 'idx/status/running/' || x AS key FROM h UNION ALL SELECT id, 'put', 'idx/status/done/' || x FROM h UNION ALL SELECT id, 'put', 'job/' || x FROM h""")
+@query(f"""WITH {JOBS}, h AS (SELECT id, status, lpad(lower(to_hex(id)), 16, '0') AS x FROM jobs)
+SELECT id, 'delete' AS op, 'idx/status/' || status || '/' || x AS key FROM h UNION ALL SELECT id, 'put', 'idx/status/dead/' || x FROM h UNION ALL SELECT id, 'put', 'job/' || x FROM h""")
 def move_batch_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = jobs(spark, sf_dir).filter("status = 'done'")
-    return J.moves(rows, F.lit("running"), F.lit("{}")).select("id", "op", "key")
+    """All jobs given up: three operations each."""
+    rows = jobs(spark, sf_dir).withColumnRenamed("status", "before").withColumn("status", F.lit("dead"))
+    return J.moves(rows, F.col("before"), F.lit("{}")).select("id", "op", "key")
 
 
-@query(f"""WITH {JOBS} SELECT id, '{{"id":' || id || ',"status":"' || status || '","attempts":' || attempts || '}}' AS line FROM jobs""")
+@query(f"""WITH {JOBS}, x AS (SELECT *, CASE WHEN lease_until IS NULL THEN 'null' ELSE CAST(lease_until AS VARCHAR) END AS lease FROM jobs)
+SELECT id, '{{"id":' || id || ',"kind":"order","payload":{{"order":' || id || '}},"status":"' || status || '","attempts":' || attempts || ',"max_attempts":' || max_attempts || ',"claim_token":' || claim_token
+  || ',"lease_until":' || lease || ',"created_at":' || created_at || ',"updated_at":' || updated_at || ',"last_error":null}}' AS line FROM x""")
 def export_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs(spark, sf_dir).select("id", F.to_json(F.struct("id", "status", "attempts")).alias("line"))
+    """All jobs loaded into a queue, exported to text files and read back."""
+    id_ = F.col("id").cast("string")
+    rows = jobs(spark, sf_dir).withColumns({"kind": F.lit("order"), "payload": F.concat(F.lit('{"order":'), id_, F.lit("}")), "last_error": F.lit(None).cast("string")})
+    folder = new_path(spark, "export")
+    with Store.open(spark, _folder(spark), _OPTIONS) as store:
+        queue = J.JobStore(store)
+        queue.load(rows)
+        queue.export(folder)
+    lines = spark.read.text(folder).withColumnRenamed("value", "line")
+    return lines.select(F.get_json_object("line", "$.id").cast("long").alias("id"), "line")
 
 
 # --- workloads ---------------------------------------------------------------------------------
@@ -341,26 +407,50 @@ def ycsb_uniform_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy(keys.zipf_key(F.floor(workload.uniform(F.col("o_orderkey")) * F.lit(float(n)))).alias("key")).agg(F.count(F.lit(1)).alias("hits"))
 
 
+def _value(owner: Column) -> Column:
+    return F.rpad(owner, workload.VALUE_BYTES, "x")
+
+
 def _mix(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Requests over the live records: per key, how many reads and writes meet it."""
+        """The mix over a store with a record for each order.
+
+        Reads see the records as of the load; updates, and writes that follow a read, are one
+        batch. Per record that was asked for: reads, writes, the value read and the value after.
+        """
         orders = table(spark, sf_dir, "orders")
         n = orders.count()
+        first = orders.select(F.col("o_orderkey").alias("op_index"), keys.zipf_key(F.col("o_orderkey")).alias("key"), F.lit(1).alias("kind"), _value(F.concat(F.lit("load-"), F.col("o_orderkey").cast("string"))).alias("value"))
         asked = workload.requests(spark, n, workload.Zipf.of(spark, n), name)
         # counted per key before the join: the hottest key is one row there
-        asked = asked.groupBy("key").agg(F.count_if(F.col("op") != "update").alias("reads"), F.count_if(F.col("op") != "read").alias("writes"))
-        return asked.join(orders.select(keys.zipf_key(F.col("o_orderkey")).alias("key"), "o_totalprice"), "key", "left_semi")
+        wrote = F.col("op") != "read"
+        asked = asked.groupBy("key").agg(F.count_if(F.col("op") != "update").alias("reads"), F.count_if(wrote).alias("writes"), F.max(F.when(wrote, F.struct("request", "op"))).alias("last"))
+        store = Store.open(spark, _folder(spark), _OPTIONS)
+        store.write_frame(first)
+        store.flush()
+        before = store.snapshot()
+        read = asked.join(before.view().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("read")), "key")
+        read = stage(read, "ycsb-reads")
+        # the last write of a key stands; one that follows a read keeps the end of what it read
+        request = F.col("last.request").cast("string")
+        value = F.when(F.col("last.op") == "update", _value(F.concat(F.lit("set-"), request))).otherwise(F.concat(F.rpad(F.concat(F.lit("rmw-"), request), 50, "y"), F.substring("read", 51, 50)))
+        store.write_frame(read.filter("writes > 0").select(F.col("last.request").alias("op_index"), "key", F.lit(1).alias("kind"), value.alias("value")))
+        after = store.snapshot().view().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+        return read.join(after, "key").select("key", "reads", "writes", F.when(F.col("reads") > 0, F.col("read")).alias("read"), "value")
 
     reads, updates, _ = workload.MIXES[name]
     run.__name__ = f"ycsb_{name.lower()}_bulk"
     query(f"""WITH n AS (SELECT count(*) AS n FROM orders), i AS (SELECT unnest(range(n)) AS id, n FROM n),
 z AS (SELECT round(sum(pow(CAST(id + 1 AS DOUBLE), -0.99::DOUBLE)), 6) AS zn, 1 + pow(0.5::DOUBLE, 0.99::DOUBLE) AS z2 FROM i),
 c AS (SELECT zn, z2, (1 - pow(2.0::DOUBLE / n, 1 - 0.99::DOUBLE)) / (1 - z2 / zn) AS eta, 1 / (1 - 0.99::DOUBLE) AS alpha FROM z, n),
-r AS (SELECT {_U.format('id')} AS u, {_U.format('id * 7 + 3')} AS roll, n FROM i),
-k AS (SELECT CASE WHEN u * zn < 1 THEN 0 WHEN u * zn < z2 THEN 1 ELSE least(CAST(floor(CAST(n AS DOUBLE) * pow(eta * u - eta + 1, alpha)) AS BIGINT), n - 1) END AS rank,
-  CASE WHEN roll < {reads}::DOUBLE THEN 'read' WHEN roll < {reads + updates}::DOUBLE THEN 'update' ELSE 'rmw' END AS op FROM r, c)
-SELECT 'key' || lpad(CAST(rank AS VARCHAR), 10, '0') AS key, count(*) FILTER (op <> 'update') AS reads, count(*) FILTER (op <> 'read') AS writes
-FROM k WHERE rank IN (SELECT o_orderkey FROM orders) GROUP BY 1""")(run)
+r AS (SELECT id, {_U.format('id')} AS u, {_U.format('id * 7 + 3')} AS roll, n FROM i),
+k AS (SELECT id, CASE WHEN u * zn < 1 THEN 0 WHEN u * zn < z2 THEN 1 ELSE least(CAST(floor(CAST(n AS DOUBLE) * pow(eta * u - eta + 1, alpha)) AS BIGINT), n - 1) END AS rank,
+  CASE WHEN roll < {reads}::DOUBLE THEN 'read' WHEN roll < {reads + updates}::DOUBLE THEN 'update' ELSE 'rmw' END AS op FROM r, c),
+a AS (SELECT rank, count(*) FILTER (op <> 'update') AS reads, count(*) FILTER (op <> 'read') AS writes, max(id) FILTER (op <> 'read') AS last, arg_max(op, id) FILTER (op <> 'read') AS last_op
+  FROM k WHERE rank IN (SELECT o_orderkey FROM orders) GROUP BY 1),
+v AS (SELECT *, rpad('load-' || rank, 100, 'x') AS was FROM a)
+SELECT 'key' || lpad(CAST(rank AS VARCHAR), 10, '0') AS key, reads, writes, CASE WHEN reads > 0 THEN was END AS read,
+  CASE WHEN writes = 0 THEN was WHEN last_op = 'update' THEN rpad('set-' || last, 100, 'x') ELSE rpad('rmw-' || last, 50, 'y') || substr(was, 51, 50) END AS value FROM v""")(run)
 
 
 for _name in workload.MIXES:
@@ -370,68 +460,59 @@ for _name in workload.MIXES:
 # --- storage -----------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder for a store, where all executors can write."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    top = shared.removeprefix("file://").removeprefix("file:") if shared else tempfile.mkdtemp(prefix="tidemark-")
-    return os.path.join(top, f"store-{uuid.uuid4().hex}")
-
-
-def _filled(spark: SparkSession, sf_dir: str):
-    from .options import Options
-    from .store import Store
-
-    store = Store.open(spark, _folder(spark), Options(memtable_size=1 << 30))
-    rows = log(spark, sf_dir).withColumnRenamed("seq", "op_index")
-    half = head(log(spark, sf_dir)) // 2
-    for part in (rows.filter(F.col("op_index") <= half), rows.filter(F.col("op_index") > half)):
-        store.write_frame(part)
-        store.flush()
-    return store, half
+_STORED = "SELECT key, seq, value FROM "
 
 
-_STORED = "SELECT key, seq, value FROM "
+def _shown(view: DataFrame) -> DataFrame:
+    return view.select(F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").alias("value"))
 
 
 @query(f"WITH {LOG} {_STORED}{_live('head')}")
 def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log written to a store in two batches, flushed, fully compacted, and read back."""
-    store, _ = _filled(spark, sf_dir)
+    store = _stored(spark, sf_dir, 2)
     store.compact()
-    return store.snapshot().view().select(F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").alias("value"))
+    return _shown(store.snapshot().view())
 
 
 @query(f"WITH {LOG} {_STORED}{_live('mid')}")
 def store_old_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot taken between the batches, read after the second one and a compaction."""
-    from .options import Options
-    from .store import Store
-
-    store = Store.open(spark, _folder(spark), Options(memtable_size=1 << 30))
+    store = Store.open(spark, _folder(spark), _OPTIONS)
     rows = log(spark, sf_dir).withColumnRenamed("seq", "op_index")
     half = head(log(spark, sf_dir)) // 2
     store.write_frame(rows.filter(F.col("op_index") <= half))
     old = store.snapshot()
     store.write_frame(rows.filter(F.col("op_index") > half))
     store.compact()
-    return old.view().select(F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").alias("value"))
+    return _shown(old.view())
+
+
+@query(f"WITH {LOG} {_STORED}{_live('head')}")
+def store_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in a flushed and an unflushed half, a batch whose commit never came, and a reopening."""
+    path = _folder(spark)
+    rows = log(spark, sf_dir).withColumnRenamed("seq", "op_index")
+    half = head(log(spark, sf_dir)) // 2
+    with Store.open(spark, path, _OPTIONS) as store:
+        store.write_frame(rows.filter(F.col("op_index") <= half))
+        store.flush()
+        store.write_frame(rows.filter(F.col("op_index") > half))
+    layout.write_log_here([(b"user/lost", 1 << 40, 1, b"")], f"{path}/log/batch=999999")
+    return _shown(Store.open(spark, path, _OPTIONS).snapshot().view())
 
 
 @query(f"WITH {LOG} {_STORED}{_live('head')}")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a file stream of one micro-batch per file, committed to a store and read back."""
-    from .options import Options
-    from .store import Store
-    from .streaming import ingest
-
     folder = _folder(spark)
     source = f"{folder}-source"
     rows = log(spark, sf_dir).withColumnRenamed("seq", "op_index")
     rows.repartitionByRange(3, "op_index").write.parquet(source)
-    store = Store.open(spark, folder, Options(memtable_size=1 << 30))
+    store = Store.open(spark, folder, _OPTIONS)
     stream = spark.readStream.schema(rows.schema).parquet(source)
     ingest(store, stream, name="events", checkpoint=f"{folder}-checkpoint").awaitTermination()
-    return store.snapshot().view().select(F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").alias("value"))
+    return _shown(store.snapshot().view())
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
