@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import demo
 from tidemark import jobs as J
 from tidemark.options import Options
 from tidemark.store import Store
@@ -142,3 +143,11 @@ def test_too_large_takes_no_id(queue):
     with pytest.raises(J.PayloadTooLarge):
         queue.enqueue("x", "y" * J.MAX_RECORD_BYTES, 0)
     assert queue.enqueue("x", {}, 0).id == 1
+
+
+def test_demo(spark, tmp_path):
+    found = dict(demo.run(spark, str(tmp_path), jobs=9))
+    assert found["enqueued"]["pending"] == 9 and found["worked"] == {"pending": 6, "running": 1, "done": 2, "dead": 0}
+    assert found["swept"]["requeued"] == 1 and found["swept"]["then"] == found["worked"]
+    assert found["recovered"] == found["swept"]["now"] == {"pending": 6, "running": 0, "done": 2, "dead": 1}  # it had failed before
+    assert found["purged"] == 2 and found["exported"] == 7 and found["compacted"]["after"]["memtable_bytes"] == 0
