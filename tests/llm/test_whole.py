@@ -19,9 +19,10 @@ def test_pipeline_near_duplicates_by_similarity(spark):
     assert root[177] == 1 and {r.doc_id for r in got.collect()} == {i for i, r in root.items() if i == r}
 
 
-@pytest.mark.parametrize("chunk", [256, 3])
-def test_near_copies_large_group(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "most"), [(256, 32 << 20), (3, 32 << 20), (3, 0)])
+def test_near_copies_large_group(spark, monkeypatch, chunk, most):
     monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    monkeypatch.setattr(near_copies, "BROADCAST_BYTES", most)
     rng = random.Random(5)
     rows = []
     for g in range(3):
@@ -38,6 +39,47 @@ def test_near_copies_large_group(spark, monkeypatch, chunk):
     assert near_copies.without_near_copies(frame(spark, rows).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("chunk", [256, 4])
+def test_near_copies_in_chains_and_half_alike(spark, monkeypatch, chunk):
+    """Chains whose ends aren't alike, and families that share half their shingles."""
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    rng = random.Random(8)
+    rows, half = [], [f"h{k}" for k in range(60)]
+    for g in range(6):
+        words = half + [f"g{g}w{k}" for k in range(rng.choice([30, 60, 90]))]
+        for _ in range(14):
+            words = list(words)
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+            rows.append((rng.randrange(10**9), " ".join(words), "en", "s", 0))
+    root = brute.similar([r[:2] for r in rows])
+    got = near_copies.without_near_copies(frame(spark, rows))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, r in root.items() if i == r)
+    assert 6 <= len(set(root.values())) < len(rows)
+
+
+def test_near_copies_of_one_text_take_linear_work(spark, monkeypatch):
+    """Two thousand near copies: a few comparisons each, not a thousand."""
+    seen = []
+    own = near_copies._verified
+
+    def counted(units, at, similarity, **options):
+        if "set" in units.columns:
+            seen.append(units.count())
+        return own(units, at, similarity, **options)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    monkeypatch.setattr(near_copies, "CHUNK", 64)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(2_000):
+        words = list(base)
+        words[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    assert [r.doc_id for r in near_copies.without_near_copies(frame(spark, rows)).collect()] == [0]
+    assert sum(seen) < 20 * len(rows)
+
+
 def test_no_usable_labels_keep_documents(spark):
     docs = frame(spark, [(i, f"plain words {i}", "en", "s", 0) for i in range(4)])
     schema = "doc_id long, toxic int"
