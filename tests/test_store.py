@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.errors import DataFileCorrupt, InvalidArgument, StoreClosed, StoreIOError, StoreLocked, StorePoisoned
+from tidemark.operators import asof as reads
 from tidemark.operators.bounds import Range, prefix_range
 from tidemark.options import MAX_KEY_LEN, Options
 from tidemark.plans.manifest import CHECKPOINT_EVERY, Manifest
@@ -156,6 +157,46 @@ def test_levels_are_disjoint_and_pruned(spark, store):
     assert store.get(b"k000100") is not None and len(store.scan(Range(b"k000100", b"k000110"))) == 10
 
 
+def _rows_scanned(df):
+    """Rows that the scan gave, after row groups were skipped."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_bloom_filter_skips_absent_keys(spark, tmp_path):
+    """A key between a file's smallest and largest that isn't in it: no row is read."""
+    path = str(tmp_path / "runs")
+    rows = spark.range(5_000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("key"), F.lit(1).cast("long").alias("seq"), F.lit(1).alias("kind"), F.lit(b"").alias("value"))
+    layout.write_runs(rows, path, 1, 5_000)
+    there, absent = bytes(rows.first().key), b"7" * 64
+    plain = spark.read.option("parquet.filter.dictionary.enabled", "false").option("parquet.filter.columnindex.enabled", "false").parquet(path)
+    with_filter = lambda key: plain.filter(F.col("key") == F.lit(bytearray(key)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert _rows_scanned(with_filter(absent)) == 0 and _rows_scanned(with_filter(there)) == 5_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_one_file_point_read(spark, tmp_path):
+    """A run of versions in one file, read at each of its seqs."""
+    with Store.open(spark, str(tmp_path / "one"), SMALL) as s:
+        for i in range(6):
+            s.write_batch(WriteBatch().put(b"k", f"{i}".encode()) if i != 3 else WriteBatch().delete(b"k"))
+        s.flush()
+        [file] = s.files()[0]
+        log = layout.read(spark, [file.path])
+        got = [[bytes(r.value) for r in reads.get(log, bytearray(b"k"), seq).collect()] for seq in range(8)]
+        assert got == [[], [b"0"], [b"1"], [b"2"], [], [b"4"], [b"5"], [b"5"]]
+
+
+def test_list_batches_takes_numbers_only(tmp_path):
+    for name in ("batch=10", "batch=9", "batch=x", "batch=", "other", "batch=3.tmp"):
+        os.makedirs(tmp_path / name)
+    assert layout.list_batches(str(tmp_path)) == [9, 10] and layout.list_batches(str(tmp_path / "none")) == []
+
+
 def test_lock_orphans_corruption(spark, tmp_path):
     path = str(tmp_path / "x")
     with Store.open(spark, path) as s:

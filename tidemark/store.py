@@ -230,13 +230,15 @@ class Store:
             return self._next - n
 
     def _remove_orphans(self) -> None:
+        """Log batches, jobs and staging folders that no commit names; what else lies there stays."""
         state = self._manifest.state
         named = {os.path.dirname(f.path) for files in state.levels for f in files} | {b.path for b in state.logs}
+        found = [f"{self.path}/log/batch={n}" for n in layout.list_batches(f"{self.path}/log")]
         for top in os.listdir(self.path):
             if top == "log" or top[:1] == "L" and top[1:].isdigit():
-                for name in os.listdir(f"{self.path}/{top}"):
-                    if (folder := f"{self.path}/{top}/{name}") not in named:
-                        shutil.rmtree(folder, ignore_errors=True)
+                found += [f"{self.path}/{top}/{n}" for n in os.listdir(f"{self.path}/{top}") if n.startswith(("job=", "staging="))]
+        for folder in set(found) - named:
+            shutil.rmtree(folder, ignore_errors=True)
 
     # --- writes -------------------------------------------------------------------------------
 
