@@ -63,9 +63,18 @@ def create(spark: SparkSession, path: str) -> None:
     fs.create(p, True).close()
 
 
-def release(spark: SparkSession) -> int:
-    """Delete all that this process has staged, once its results have been read; how many tables."""
-    paths, _STAGED[:] = list(_STAGED), []
-    for path in paths:
+def mark() -> int:
+    """How many tables this process has staged: what comes later can be released on its own."""
+    return len(_STAGED)
+
+
+def release(spark: SparkSession, since: int = 0, *, keep: int = 0) -> int:
+    """Delete what this process has staged since :func:`mark`, but for the last ``keep`` tables.
+
+    Only once the results that read them have been read or written. How many tables went.
+    """
+    gone = _STAGED[since : len(_STAGED) - keep]
+    _STAGED[since : since + len(gone)] = []
+    for path in gone:
         delete(spark, path.rsplit("/", 1)[0])
-    return len(paths)
+    return len(gone)
