@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from tests.llm import brute
 from tests.llm.test_operators import SF, frame
-from tidemark.llm import exact_dedup, near_copies, toxicity
+from tidemark.llm import exact_dedup, near_copies, quality, toxicity
 
 
 def test_pipeline_near_duplicates_by_similarity(spark):
@@ -159,3 +160,59 @@ def test_toxicity_learns_long_beginnings_and_many_entries(spark):
     folded = toxicity.fold(long_).strip()
     assert f" {folded[:10]}" in lexicon.terms
     assert len({t for t in lexicon.terms if len(t) == 5}) > 5_000
+
+
+def _grown(x, y, trees, depth, bins, rate, ridge, least):
+    """Boosting a row and a cut at a time: (feature, threshold) or a value for each node of each tree."""
+    edges = [sorted(set(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1]))) for c in x.T]
+    total = [float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))] * len(y)
+    out = []
+    for _ in range(trees):
+        p = [1 / (1 + np.exp(-t)) for t in total]
+        g, h = [a - b for a, b in zip(y, p, strict=True)], [a * (1 - a) for a in p]
+        nodes, cuts, values = {0: list(range(len(y)))}, {}, {}
+        for node in range(2 ** (depth + 1) - 1):
+            rows = nodes.get(node, [])
+            if node >= 2**depth - 1:
+                values[node] = rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + ridge)
+                for i in rows:
+                    total[i] += values[node]
+                continue
+            worth = lambda part: sum(g[i] for i in part) ** 2 / (sum(h[i] for i in part) + ridge)  # noqa: B023, E731
+            best, cut = 1e-6, None
+            for j in range(x.shape[1]):
+                for e in edges[j]:
+                    left, right = [i for i in rows if x[i, j] <= e], [i for i in rows if x[i, j] > e]
+                    if min(len(left), len(right)) >= least and (gain := worth(left) + worth(right) - worth(rows)) > best * (1 + 1e-12):
+                        best, cut = gain, (j, e)
+            if cut:
+                cuts[node] = cut
+                nodes[2 * node + 1], nodes[2 * node + 2] = [i for i in rows if x[i, cut[0]] <= cut[1]], [i for i in rows if x[i, cut[0]] > cut[1]]
+            else:
+                nodes[2 * node + 1] = rows
+        out.append((cuts, values))
+    return out
+
+
+def test_trees_against_naive_growth():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(160, 3))
+    y = ((x[:, 0] + 0.5 * x[:, 1] > 0.2) ^ (rng.random(160) < 0.1)).astype(float)
+    options = {"trees": 4, "depth": 2, "bins": 12, "rate": 0.3, "ridge": 1.0, "least": 8}
+    model, size = quality.fit(x, y, **options), 7
+    for t, (cuts, values) in enumerate(_grown(x, y, **options)):
+        for node in range(3):
+            j, e = cuts.get(node, (0, np.inf))
+            assert (model.feature[t * size + node], model.threshold[t * size + node]) == (j, e)
+        assert all(abs(model.value[t * size + node] - values[node]) < 1e-9 for node in range(3, 7))
+
+
+def test_classifiers_learn_from_one_row_of_an_id(spark, monkeypatch):
+    """However often a labelled id is repeated, the driver gets one row of it."""
+    docs = frame(spark, [(i % 4, f"text {i % 8} of words", "en", "s", 0) for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(4)], "doc_id long, quality int, toxic int")
+    seen = []
+    own = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y, **k: seen.append(len(y)) or own(x, y, **k))
+    quality.learn(docs, labels)
+    assert seen == [4] and toxicity.learn(docs, labels) == toxicity.learn(docs.dropDuplicates(["doc_id", "text"]), labels)

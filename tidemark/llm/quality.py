@@ -133,7 +133,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", kee
     """Fit on at most ``most`` documents with labels for which ``keep`` holds."""
     keep = F.lit(True) if keep is None else keep
     chosen = stage(sample_labels(labels, label_col, keep, id_col=id_col, most=most), "labels-sample")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # of rows that share an id the one with the least text counts, so that the sample is bounded
+    rows = rows.groupBy("doc_id").agg(F.min("text").cast("binary").alias("text"), F.max("label").alias("label"))
     # a bounded number of rows, of some numbers each; their order must not matter to the fit
     got = sorted((r.out, r.label) for r in _with(rows.select("text", "label"), None, "label", "int").collect())
     x = np.array([g[0] for g in got]).reshape(-1, len(STATISTICS))
