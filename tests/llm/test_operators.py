@@ -349,7 +349,7 @@ def test_tokens_other_vocabulary(tmp_path):
 
 
 def test_tokens_small_cache(monkeypatch):
-    monkeypatch.setattr(token_output.WordBpe, "CACHE_BYTES", 500)
+    monkeypatch.setattr(token_output.Known, "MOST", 500)
     w = token_output.WordBpe(queries.vocabulary())
     texts = [" ".join(f"word{i * k} ä{i}" for i in range(9)) for k in range(20)]
     for t, ids in zip(texts, _tokens(texts), strict=True):

@@ -24,7 +24,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -205,6 +205,27 @@ def cut_here(path: str) -> bool:
     return parts and model and added and not (doc.get("truncation") or doc.get("post_processor"))
 
 
+class Known(dict):
+    """Text to ids, made on first use."""
+
+    #: Bytes held, about, before it starts anew: what bounds a worker's memory, whatever the texts
+    #: are. ``ENTRY`` is what a key and its ids take besides their own bytes.
+    MOST, ENTRY = 128 << 20, 180
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make, self.held = make, 0
+
+    def __missing__(self, text: str) -> bytes:
+        got = self.make(text)
+        if self.held >= self.MOST:
+            self.clear()
+            self.held = 0
+        self[text] = got
+        self.held += self.ENTRY + len(text) + len(got)
+        return got
+
+
 class WordBpe:
     """The ids that the tokenizers library gives, with its work done once a piece.
 
@@ -232,14 +253,7 @@ class WordBpe:
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         other = [b for b in range(256) if b not in shown]
         self.signs = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(other)}
-        self.plain: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.held = {id(c): 0 for c in (self.plain, self.chunks, self.pieces)}
-
-    #: Bytes of a cache, about, before it starts anew: what bounds a worker's memory, whatever the
-    #: pieces are. ``ENTRY`` is what a key and its ids take besides their own bytes.
-    CACHE_BYTES, ENTRY = 64 << 20, 180
+        self.plain, self.chunks = Known(self._plain), Known(self._chunk)
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
@@ -247,36 +261,21 @@ class WordBpe:
         return pack([t.id for t in self.model.tokenize(piece)])
 
     def _plain(self, chunk: str) -> bytes:
-        return self._joined(self.PIECES.findall(chunk), self.pieces, self._piece)
+        """A piece is cut into itself alone, so chunks and pieces share one cache."""
+        parts = self.PIECES.findall(chunk)
+        return self._piece(chunk) if len(parts) == 1 else b"".join(map(self.plain.__getitem__, parts))
 
     def _chunk(self, chunk: str) -> bytes:
         return pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
-    def _joined(self, parts: list[str], cache: dict[str, bytes], encode) -> bytes:
-        found = list(map(cache.get, parts))
-        if None in found:
-            held = self.held[id(cache)]
-            if held >= self.CACHE_BYTES:
-                cache.clear()
-                held = 0
-            for i, got in enumerate(found):
-                if got is None:
-                    p = parts[i]
-                    found[i] = cache.get(p)
-                    if found[i] is None:
-                        found[i] = cache[p] = encode(p)
-                        held += self.ENTRY + len(p) + len(found[i])
-            self.held[id(cache)] = held
-        return b"".join(found)
-
     def encode(self, text: str) -> bytes:
         """All ids of the text, little-endian u32."""
         if not self.cut_here:
             return self._chunk(text)
         if "<|" not in text and self.PLAIN.fullmatch(text):
             # in such a text split() finds no other white space than the contract's
-            return self._joined(text.lower().split(), self.plain, self._plain)
-        return self._joined(self.CHUNKS.findall(text), self.chunks, self._chunk)
+            return b"".join(map(self.plain.__getitem__, text.lower().split()))
+        return b"".join(map(self.chunks.__getitem__, self.CHUNKS.findall(text)))
 
 
 _LOADED: dict[str, WordBpe] = {}
