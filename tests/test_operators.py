@@ -145,6 +145,7 @@ def test_nearest_rank(spark):
 def test_hot_key_spreads(spark, monkeypatch):
     """Nine tenths of the versions and probes have one key: no range holds much over its share."""
     ranges = []
+    monkeypatch.setattr(sweep, "ONE_RANGE_BYTES", 0)
     own = sweep.stage
     monkeypatch.setattr(sweep, "stage", lambda df, name: ranges.append(own(df, name)) or ranges[-1])
     log = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("k"), F.col("id").cast("string"))).otherwise("hot").alias("key"), (F.col("id") + 1).alias("seq"), F.when(F.col("id") % 7 == 0, 0).otherwise(1).alias("kind"), F.col("id").cast("string").alias("value"))
@@ -164,7 +165,26 @@ def test_hot_key_spreads(spark, monkeypatch):
     assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
 
 
-def test_nearest_rank_of_distinct_values_is_spread(spark):
+@pytest.mark.parametrize("most", [0, 4 << 20])
+def test_running_and_swept(spark, monkeypatch, most):
+    """One range or many: the same sums and the same last values, ties and nulls among them."""
+    monkeypatch.setattr(sweep, "ONE_RANGE_BYTES", most)
+    rows = [(i * 7919 % 1000, i % 5, None if i % 3 else f"v{i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "at long, amount long, value string")
+    order = sorted(rows)
+    want, total, last = {}, 0, None
+    for at, amount, value in order:
+        last = value if value is not None else last
+        want[at] = (total, last)
+        total += amount
+    assert {r.at: r.before for r in sweep.running(df, ["at"], {"before": "amount"}, "t").collect()} == {k: v[0] for k, v in want.items()}
+    assert {r.at: r.value for r in sweep.swept(df, ["at"], "value", "t").collect()} == {k: v[1] for k, v in want.items()}
+    assert sweep.running(df.limit(0), ["at"], {"before": "amount"}, "t").collect() == sweep.swept(df.limit(0), ["at"], "value", "t").collect() == []
+
+
+@pytest.mark.parametrize("most", [0, 4 << 20])
+def test_nearest_rank_of_distinct_values_is_spread(spark, monkeypatch, most):
+    monkeypatch.setattr(sweep, "ONE_RANGE_BYTES", most)
     df = spark.range(50_000).select((F.col("id") * 7919 % 50_000).cast("double").alias("v"))
     assert {r.p: r.value for r in accounting.nearest_rank(df, "v", [0.0, 0.5, 0.999, 1.0]).collect()} == {0.0: 0.0, 0.5: 25_000.0, 0.999: 49_949.0, 1.0: 49_999.0}
     assert accounting.nearest_rank(df.limit(0), "v", [0.5]).collect() == []
