@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tests.llm import brute
 from tidemark.llm import decontaminate, exact_dedup, graph, line_dedup, mixing, quality, queries, secret_scan, simhash, token_output, toxicity, url_filter
+from tidemark.operators import sweep
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -155,7 +156,9 @@ def test_urls(spark):
     assert len(out) == len(rows) and all(r.verdict == "allow" for r in out if not r.rule)
 
 
-def test_urls_random_rules(spark):
+@pytest.mark.parametrize("most", [0, 4 << 20])
+def test_urls_random_rules(spark, monkeypatch, most):
+    monkeypatch.setattr(sweep, "ONE_RANGE_BYTES", most)
     rnd = random.Random(3)
     host = lambda: ".".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4)))
     rules = list({(h, p): (h, p, rnd.choice(["allow", "block"])) for h, p in ((host(), rnd.choice(["/", "/x", "/x/y", "", "/xé", "/x/y/z/"])) for _ in range(90))}.values())
@@ -427,8 +430,9 @@ def uneven():
     return [*rows, (999, None, "empty")]
 
 
-@pytest.mark.parametrize("block", [None, 1, 64, 10_000])
-def test_mixing_by_brute_force(spark, uneven, block):
+@pytest.mark.parametrize(("block", "most"), [(None, 0), (1, 4 << 20), (64, 0), (10_000, 4 << 20)])
+def test_mixing_by_brute_force(spark, uneven, monkeypatch, block, most):
+    monkeypatch.setattr(sweep, "ONE_RANGE_BYTES", most)
     df = spark.createDataFrame(uneven, "doc_id long, text string, source string")
     got = mixing.mixing(df, block=block).collect()
     _check_mix(got, uneven, block=block)
@@ -462,8 +466,9 @@ def test_mixing_schedule_is_even(spark, uneven):
     assert all(abs(half[p] - share[p] / 2) <= 64 * 3 for p in share)
 
 
-def test_mixing_many_sources(spark):
+def test_mixing_many_sources(spark, monkeypatch):
     """Ten thousand sources, one with a third of the words; no broadcast by hint but the ranges'."""
+    monkeypatch.setattr(sweep, "ONE_RANGE_BYTES", 0)
     rows = [(i, "w " * (1 + i % 7), f"s{i:05d}") for i in range(10_000)]
     rows += [(20_000 + i, "v " * 10, "s00000") for i in range(1_500)]
     got = mixing.mixing(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
