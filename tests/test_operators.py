@@ -197,6 +197,8 @@ def test_release_removes_staged_tables(spark):
     path = df.inputFiles()[0]
     assert staging.within(spark, path.rsplit("/", 1)[0]) and staging.release(spark) >= 1
     assert not staging.within(spark, path.rsplit("/", 1)[0]) and staging.within(spark, path) == []
-    since = staging.mark()
-    old, last = staging.stage(spark.range(3), "old"), staging.stage(spark.range(4), "last")
-    assert staging.release(spark, since, keep=1) == 1 and last.count() == 4 and not staging.within(spark, old.inputFiles()[0].rsplit("/", 1)[0])
+    with staging.collected() as own:
+        old = staging.stage(spark.range(3), "old")
+    last = staging.stage(spark.range(4), "last")
+    assert len(own) == 1 and staging.release(spark, own) == 1 and last.count() == 4
+    assert not staging.within(spark, old.inputFiles()[0].rsplit("/", 1)[0])

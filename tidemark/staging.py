@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,18 +65,24 @@ def create(spark: SparkSession, path: str) -> None:
     fs.create(p, True).close()
 
 
-def mark() -> int:
-    """How many tables this process has staged: what comes later can be released on its own."""
-    return len(_STAGED)
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The list of what is staged inside, complete at the end."""
+    own: list[str] = []
+    since = len(_STAGED)
+    try:
+        yield own
+    finally:
+        own += _STAGED[since:]
 
 
-def release(spark: SparkSession, since: int = 0, *, keep: int = 0) -> int:
-    """Delete what this process has staged since :func:`mark`, but for the last ``keep`` tables.
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete staged tables, by default all of this process; how many went.
 
-    Only once the results that read them have been read or written. How many tables went.
+    Only once the results that read them have been read or written themselves.
     """
-    gone = _STAGED[since : len(_STAGED) - keep]
-    _STAGED[since : since + len(gone)] = []
+    gone = [p for p in _STAGED if paths is None or p in paths]
     for path in gone:
+        _STAGED.remove(path)
         delete(spark, path.rsplit("/", 1)[0])
     return len(gone)
