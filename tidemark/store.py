@@ -320,9 +320,11 @@ class Store:
                     return sum(r.size for r in taken)
 
                 self._commit_log(write, seq, len(rows))
-        except Exception as e:
+        except BaseException as e:  # nobody who waits may be left without an answer
             for request in taken:
-                request.answer.set_exception(e)
+                request.answer.set_exception(e if isinstance(e, Exception) else self._fail(StoreIOError(type(e).__name__)))
+            if not isinstance(e, Exception):
+                raise
             return
         for request, seqs in zip(taken, acks, strict=True):
             request.answer.set_result(seqs)
