@@ -9,7 +9,7 @@ from ..staging import stage
 
 
 #: Rows of at most this size, by the planner's estimate from file sizes, are one range: a task's work.
-ONE_RANGE_BYTES = 4 << 20
+ONE_RANGE_BYTES = 256 << 10
 
 
 def _one_range(rows: DataFrame) -> bool:
