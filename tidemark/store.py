@@ -8,7 +8,8 @@ flushes and compactions don't touch it; files go when no snapshot or view that i
 them. The directory must be a POSIX path that all executors share.
 
 Writers from any number of threads queue up. The one that finds nobody committing takes what is
-queued, commits it as one log file and one manifest record, and answers all; the others wait. When
+queued, commits it as one log file and one manifest record, answers all, and hands over to the
+first that came meanwhile. When
 the log has ``memtable_size`` bytes it is frozen and flushed, by the writer itself or, with
 ``background``, by a thread, which lets writers go on until ``MAX_FROZEN`` frozen logs wait.
 
@@ -94,7 +95,17 @@ class _Request:
 
     batches: list[WriteBatch]
     size: int
-    answer: Future
+    answer: Future = field(default_factory=Future)
+    #: Set once there is an answer, or once this caller is to commit for all that wait.
+    turn: threading.Event = field(default_factory=threading.Event)
+
+    def succeed(self, seqs: list[int]) -> None:
+        self.answer.set_result(seqs)
+        self.turn.set()
+
+    def fail(self, e: Exception) -> None:
+        self.answer.set_exception(e)
+        self.turn.set()
 
 
 class Snapshot:
@@ -141,6 +152,7 @@ class Store:
         self._changed = threading.Condition(self._guard)
         self._writing, self._work = threading.RLock(), threading.RLock()
         self._queue: deque[_Request] = deque()
+        self._leading = False
         #: The last log batch of each frozen log that waits for its flush, oldest first.
         self._frozen: list[int] = []
         self._busy = False
@@ -201,7 +213,7 @@ class Store:
             self._thread.join()
         with self._writing, self._work, self._guard:  # after the commit or job that is running
             while self._queue:
-                self._queue.popleft().answer.set_exception(StoreClosed(self.path))
+                self._queue.popleft().fail(StoreClosed(self.path))
             self._collect_garbage(everything=True)
             self._unlock()
 
@@ -263,15 +275,25 @@ class Store:
         for key, _, value in (op for b in batches for op in b.ops):
             if len(key) > MAX_KEY_LEN or value is not None and len(value) > MAX_VALUE_LEN:
                 raise InvalidArgument("key or value too long")
-        request = _Request(batches, sum(len(k) + len(v or b"") for b in batches for k, _, v in b.ops), Future())
+        request = _Request(batches, sum(len(k) + len(v or b"") for b in batches for k, _, v in b.ops))
         with self._guard:
             self._ready()
             self._queue.append(request)
-            self._changed.notify_all()
-        while not request.answer.done():
-            with self._writing:  # whoever gets it commits for all that wait
-                if not request.answer.done():
+            if self._leading:
+                self._changed.notify_all()  # the leader may be waiting for more
+            else:
+                self._leading = True
+                request.turn.set()
+        request.turn.wait()
+        if not request.answer.done():  # it is the first in the queue, so it gets its answer now
+            try:
+                with self._writing:
                     self._lead()
+            finally:
+                with self._guard:
+                    self._leading = bool(self._queue)
+                    if self._queue:
+                        self._queue[0].turn.set()
         return request.answer.result()
 
     def _active(self) -> list[LogBatch]:
@@ -322,12 +344,12 @@ class Store:
                 self._commit_log(write, seq, len(rows))
         except BaseException as e:  # nobody who waits may be left without an answer
             for request in taken:
-                request.answer.set_exception(e if isinstance(e, Exception) else self._fail(StoreIOError(type(e).__name__)))
+                request.fail(e if isinstance(e, Exception) else self._fail(StoreIOError(type(e).__name__)))
             if not isinstance(e, Exception):
                 raise
             return
         for request, seqs in zip(taken, acks, strict=True):
-            request.answer.set_result(seqs)
+            request.succeed(seqs)
         self._rotate_if_full()
 
     def _commit_log(self, write: Callable[[str], int], last_seq: int, n: int, stream: tuple[str, int] | None = None) -> None:
