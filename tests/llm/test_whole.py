@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
@@ -58,6 +59,31 @@ def test_near_copies_in_chains_and_half_alike(spark, monkeypatch, chunk):
     assert 6 <= len(set(root.values())) < len(rows)
 
 
+@pytest.mark.parametrize("chunk", [256, 4])
+def test_near_copies_named_by_simhash(spark, monkeypatch, chunk):
+    """Without any band the components of fingerprints name candidates, and each is compared in full."""
+    own = near_copies.sketches
+    monkeypatch.setattr(near_copies, "sketches", lambda *a, **k: own(*a, **k).withColumn("keys", F.array().cast("array<long>")))
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    rng = random.Random(11)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(300)]
+        for changed in [0] * 2 + [1] * 6 + [2] * 6 + [12] * 3:
+            words = list(base)
+            for at in rng.sample(range(300), changed):
+                words[at] = f"x{rng.random()}"
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    fps = brute.near({i: brute.fingerprint(t, 5) for i, t in enumerate(texts)})
+    want = {}
+    for i in fps:  # alike within one component of fingerprints
+        want |= brute.similar([(j, texts[j]) for j in fps if fps[j] == i], similarity=0.95)
+    got = near_copies.without_near_copies(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), similarity=0.95)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, r in want.items() if i == r)
+    assert len(set(fps.values())) < len(set(want.values())) < len(set(texts))
+
+
 def test_near_copies_of_one_text_take_linear_work(spark, monkeypatch):
     """Two thousand near copies: a few comparisons each, not a thousand."""
     seen = []

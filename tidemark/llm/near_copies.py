@@ -1,9 +1,11 @@
-"""Near copies by exact similarity of word-shingle sets, found by MinHash bands.
+"""Near copies by exact similarity of word-shingle sets, found by SimHash and, beyond it, MinHash.
 
-A text is the set of its word shingles; equal sets are collapsed first. Two sets that agree in one
-of ``BANDS`` bands of ``ROWS`` minima each are candidates: at Jaccard similarity 0.8 a pair shares
-no band once in a million, and more similar pairs more rarely still. SimHash doesn't do here:
-copies of similarity 0.8 differ in up to 17 of 64 bits.
+A text is the set of its word shingles; equal sets are collapsed first. Sets in one component of
+SimHash fingerprints at ``BITS`` or fewer differing bits (simhash.py: two segments, Hamming balls,
+full verification, alternating stars) are candidates. That alone would lose links: copies of
+similarity 0.8 differ in up to 17 of 64 bits. So two sets that agree in one of ``BANDS`` bands of
+``ROWS`` minima each are candidates too: at Jaccard similarity 0.8 a pair shares no band once in a
+million, and more similar pairs more rarely still. Below, a component counts as one more band.
 
 Candidates that hang together come to one place with their sets, and each pair there is compared
 in full, if they are ``CHUNK`` or fewer. In larger groups each set is first compared with the head
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from ._common import row_key, stage
 from .graph import components
-from .simhash import SEED, first, first_rows, hung, shingles
+from .simhash import SEED, first, first_rows, hung, majority, shingles, with_root
 
+#: Fingerprints link at this many differing bits or fewer.
+BITS = 4
 BANDS, ROWS = 35, 5
 #: Sets of a chunk, about: a unit of work compares two chunks at most.
 CHUNK = 256
@@ -63,7 +67,7 @@ def _keys(minima: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, k1, k2 (the row's key), fp (hash of the shingle set), keys (one of each band)."""
+    """doc_id, k1, k2 (the row's key), fp (hash of the shingle set), simhash, keys (one of each band)."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "k1", "k2"]
 
@@ -71,18 +75,32 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, size: int) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
-                fp, least = [], []
+                fp, bits, least = [], [], []
                 for t in b.column("text"):
                     found = shingle_set(t.as_py() or b"", size)
                     fp.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                    bits.append(majority(found))
                     least.append(_minima(found))
                 keys = _keys(np.array(least))
                 ends = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
                 found = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), found], [*names, "fp", "keys"])
+                prints = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fp, bits)]
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *prints, found], [*names, "fp", "simhash", "keys"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, fp long, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, fp long, simhash long, keys array<long>")
+
+
+def classes(ids: DataFrame) -> DataFrame:
+    """``ids``: fp, simhash, fp being distinct. key, fp: one key for each component of fingerprints."""
+    prints = ids.select(F.col("simhash").alias("fp"), F.col("fp").alias("least")).groupBy("fp").agg(F.min("least").alias("least"))
+    roots = with_root(prints, BITS).select(F.col("fp").alias("simhash"), F.xxhash64(F.lit("simhash"), "root").alias("key"))
+    return stage(ids.join(roots, "simhash").select("key", "fp"), "near-copy-classes")
+
+
+def _bands(ids: DataFrame, named: DataFrame, *also: str) -> DataFrame:
+    """key, fp, ``also``: a row for each band of ``ids`` and for each row of ``named`` (``classes``)."""
+    return named.select("key", "fp", *also).union(ids.select(F.explode("keys").alias("key"), "fp", *also))
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +198,10 @@ def _chunk(fp: str, chunks: Column) -> Column:
 
 
 def links(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
-    """``ids``: fp, least, keys, fp being distinct. Edges a, b between sets that are alike."""
+    """``ids``: fp, least, simhash, keys, fp being distinct. Edges a, b between sets that are alike."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = ids.select(F.explode("keys").alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key", "fp")
+    named = classes(ids)
+    keyed = _bands(ids, named).repartition(n, "key").sortWithinPartitions("key", "fp")
     met = stage(keyed.mapInArrow(_stars, "a long, b long").distinct(), "near-copy-candidates")
     groups = stage(components(met), "near-copy-groups")
     counts = stage(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "near-copy-counts")
@@ -211,7 +230,7 @@ def links(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, size:
     small = found.filter("not large").withColumn("label", F.col("fp"))
     own = found.filter("large").select("fp", "set")
     first = stage(_verified(small, ["root"], similarity).union(_to_heads(met, own, similarity)), "near-copy-links")
-    rest = _to_others(ids, own.select("fp"), first)
+    rest = _to_others(ids, named, own.select("fp"), first)
     rest = _verified(rest.join(own, "fp"), ["key", "kind", "low", "high"], similarity)
     return first.union(stage(rest, "near-copy-more-links"))
 
@@ -225,7 +244,7 @@ def _to_heads(met: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
     return _verified(at.unionByName(heads).join(own, "fp"), ["head", "chunk"], similarity, stars=True)
 
 
-def _to_others(ids: DataFrame, large: DataFrame, edges: DataFrame) -> DataFrame:
+def _to_others(ids: DataFrame, named: DataFrame, large: DataFrame, edges: DataFrame) -> DataFrame:
     """key, kind, low, high, fp, label: the units in which what is left of large groups is compared.
 
     A band's sets outside its most frequent component so far, in chunks, meet each other's chunks
@@ -233,11 +252,11 @@ def _to_others(ids: DataFrame, large: DataFrame, edges: DataFrame) -> DataFrame:
     """
     roots = stage(components(edges), "near-copy-roots").withColumnRenamed("node", "fp")
     labelled = large.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("label"))
-    rows = stage(ids.join(labelled, "fp").select(F.explode("keys").alias("key"), "fp", "label"), "near-copy-bands")
+    rows = stage(_bands(ids.join(labelled, "fp"), named.join(labelled, "fp"), "label"), "near-copy-bands")
     by = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    bands = by.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).filter(F.col("n") > F.col("main.n"))
-    bands = stage(bands.select("key", F.col("main.label").alias("main"), F.col("main.n").alias("n_main"), (F.col("n") - F.col("main.n")).alias("n_rest")), "near-copy-mixed-bands")
-    rows = rows.join(bands, "key").withColumns({"mains": _chunks("n_main"), "rests": _chunks("n_rest"), "is_main": F.col("label") == F.col("main")})
+    mixed = by.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).filter(F.col("n") > F.col("main.n"))
+    mixed = stage(mixed.select("key", F.col("main.label").alias("main"), F.col("main.n").alias("n_main"), (F.col("n") - F.col("main.n")).alias("n_rest")), "near-copy-mixed-bands")
+    rows = rows.join(mixed, "key").withColumns({"mains": _chunks("n_main"), "rests": _chunks("n_rest"), "is_main": F.col("label") == F.col("main")})
     rows = rows.withColumn("own", _chunk("fp", F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))))
     unit = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"))
     each = lambda count, to: F.transform(F.sequence(F.lit(0), F.col(count) - 1), to)
@@ -255,6 +274,6 @@ def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     cases: texts without words are alike; fewer words than ``size`` make one shingle.
     """
     rows = stage(sketches(docs, id_col=id_col, text_col=text_col, size=size), "sketches")
-    ids = stage(rows.groupBy("fp").agg(F.min(first()).alias("least"), F.first("keys").alias("keys")), "distinct-sets")
+    ids = stage(rows.groupBy("fp").agg(F.min(first()).alias("least"), F.first("simhash").alias("simhash"), F.first("keys").alias("keys")), "distinct-sets")
     edges = links(docs, ids, id_col=id_col, text_col=text_col, size=size, similarity=similarity)
     return first_rows(docs, hung(ids.select("fp", "least"), edges), id_col=id_col, text_col=text_col)

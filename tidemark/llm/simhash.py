@@ -50,7 +50,11 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 
 def fingerprint(text: bytes, size: int = 4) -> int:
     """Of one text; zero without words."""
-    hashes = shingles(text, size)
+    return majority(shingles(text, size))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of these hashes: a bit is 1 if set in over half of them."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):  # bounded memory for very long texts
         ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -185,13 +189,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component; an empty table gives no rows; other columns are ignored.
     """
     fp = stage(fingerprints(docs, id_col=id_col, text_col=text_col, size=size).drop("k1", "k2"), "fingerprints")
-    rooted = _rooted(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), bits)
+    rooted = with_root(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), bits)
     least = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
     named = stage(rooted.join(least, "root").select("fp", "component_id"), "named")
     return fp.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _rooted(distinct: DataFrame, bits: int) -> DataFrame:
+def with_root(distinct: DataFrame, bits: int) -> DataFrame:
     """``distinct``: fp, least. Adds root, the least fingerprint of fp's component."""
     ids = stage(distinct, "distinct-fingerprints")
     return hung(ids, links(ids.select("fp"), bits=bits))
@@ -216,7 +220,7 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     repeated rows one stays.
     """
     fp = stage(fingerprints(docs, id_col=id_col, text_col=text_col, size=size), "fingerprints")
-    return first_rows(docs, _rooted(fp.groupBy("fp").agg(F.min(first()).alias("least")), bits), id_col=id_col, text_col=text_col)
+    return first_rows(docs, with_root(fp.groupBy("fp").agg(F.min(first()).alias("least")), bits), id_col=id_col, text_col=text_col)
 
 
 def first_rows(docs: DataFrame, rooted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
