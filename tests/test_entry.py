@@ -38,6 +38,19 @@ def test_query(spark, duck, name):
         assert rows == sorted((tuple(map(plain, r)) for r in want.select(*[f'"{c}"' for c in cols]).fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("mix", "abcf")
+def test_mixes_never_broadcast_the_store(spark, monkeypatch, mix):
+    """Packed values make a store's files look small enough for the driver; both joins are by sorting."""
+    staged = []
+    own = engine.stage
+    monkeypatch.setattr(engine, "stage", lambda df, name: staged.append(df) or own(df, name))
+    got = entry.queries()[f"ycsb_{mix}_bulk"](spark, SF)
+    for df in (*staged, got):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert len(staged) == 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

@@ -429,14 +429,15 @@ def _mix(name: str) -> None:
         store.write_frame(first)
         store.flush()
         before = store.snapshot()
-        read = asked.join(before.view().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("read")), "key")
+        # Parquet's sizes are of packed values, so the planner would broadcast a table far too large
+        read = asked.join(before.view().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("read")).hint("merge"), "key")
         read = stage(read, "ycsb-reads")
         # the last write of a key stands; one that follows a read keeps the end of what it read
         request = F.col("last.request").cast("string")
         value = F.when(F.col("last.op") == "update", _value(F.concat(F.lit("set-"), request))).otherwise(F.concat(F.rpad(F.concat(F.lit("rmw-"), request), 50, "y"), F.substring("read", 51, 50)))
         store.write_frame(read.filter("writes > 0").select(F.col("last.request").alias("op_index"), "key", F.lit(1).alias("kind"), value.alias("value")))
         after = store.snapshot().view().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
-        return read.join(after, "key").select("key", "reads", "writes", F.when(F.col("reads") > 0, F.col("read")).alias("read"), "value")
+        return read.join(after.hint("merge"), "key").select("key", "reads", "writes", F.when(F.col("reads") > 0, F.col("read")).alias("read"), "value")
 
     reads, updates, _ = workload.MIXES[name]
     run.__name__ = f"ycsb_{name.lower()}_bulk"
