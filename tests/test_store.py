@@ -179,6 +179,43 @@ def test_bloom_filter_skips_absent_keys(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_no_task_sorts_a_whole_file(spark, tmp_path, monkeypatch):
+    """One file by its target size, half of it one key's versions: sorted in ranges by many tasks."""
+    monkeypatch.setattr(layout, "SORT_BYTES", 1 << 14, raising=False)
+    sorts, own = [], type(spark.range(0)).sortWithinPartitions
+    monkeypatch.setattr(type(spark.range(0)), "sortWithinPartitions", lambda self, *c, **b: sorts.append(self) or own(self, *c, **b))
+    ops = random_ops(spark, 6_000, 500).withColumn("key", F.when(F.col("op_index") % 2 == 0, F.lit(b"key-00250")).otherwise(F.col("key")))
+    with Store.open(spark, str(tmp_path / "one"), Options(memtable_size=1 << 40, target_file_size=1 << 40)) as s:
+        s.write_frame(ops)
+        held = s.snapshot()  # the log's files stay, for the counts below
+        before = sorted(map(tuple, held.log().collect()))
+        s.flush()
+        [file] = s.files()[0]
+        assert sorted(map(tuple, s.snapshot().log().collect())) == before and s.verify() == 1
+        largest = sorts[0].groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert largest < 0.4 * 6_000
+        want = {bytes(r.key): bytes(r.value) for r in held.view().collect()}
+        held.release()
+        s.compact()
+        assert len(s.files()[-1]) == 1 and s.verify() == 1 and dict(s.scan()) == want
+        assert not [n for n in os.listdir(s.path + "/L0") if n.startswith("staging=")] and all(s.get(k) == want[k] for k in (b"key-00250", min(want)) if k in want)
+
+
+@pytest.mark.parametrize("files", [1, 3, 40])
+def test_large_runs_are_disjoint_by_key(spark, tmp_path, monkeypatch, files):
+    """Ranges begin within keys; files don't, and hold all rows in order."""
+    monkeypatch.setattr(layout, "SORT_BYTES", 4_000)
+    rows = random_ops(spark, 3_000, 7).withColumn("seq", F.col("op_index") + 1)
+    want = [(bytes(r.key), r.seq, r.kind, r.value) for r in rows.orderBy("key", F.desc("seq")).collect()]
+    path = str(tmp_path / "L0/job=3")
+    layout.write_runs(rows, path, files, 3_000, 90_000)
+    found = layout.describe(spark, path)
+    assert all(a.largest < b.smallest for a, b in zip(found, found[1:])) and (len(found) == 1 if files == 1 else 1 < len(found) <= 7)
+    assert [(bytes(r.key), r.seq, r.kind, r.value) for f in found for r in spark.read.parquet(f.path).orderBy(F.col("_metadata.row_index")).collect()] == want
+    layout.write_runs(rows.limit(0), str(tmp_path / "L0/job=4"), files, 3_000, 90_000)
+    assert layout.describe(spark, str(tmp_path / "L0/job=4")) == [] and sorted(os.listdir(tmp_path / "L0")) == ["job=3", "job=4"]
+
+
 def test_one_file_point_read(spark, tmp_path):
     """A run of versions in one file, read at each of its seqs."""
     with Store.open(spark, str(tmp_path / "one"), SMALL) as s:

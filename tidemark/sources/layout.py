@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataFileCorrupt
@@ -18,6 +20,10 @@ from ..plans.manifest import FileMeta, LogBatch, LogFile
 
 #: Checksums of more bytes than these are taken by the executors.
 DRIVER_BYTES = 64 << 20
+#: What one task sorts for a run, in bytes of keys, values and overhead.
+SORT_BYTES = 32 << 20
+#: Rows of a large run's row group, in the same bytes, so that reading it spreads however well it is packed.
+ROW_GROUP_BYTES = 16 << 20
 _CHUNK = 8 << 20
 _COLUMNS = ["key", "seq", "kind", "value"]
 _ARROW = pa.schema([pa.field("key", pa.binary(), False), pa.field("seq", pa.int64(), False), pa.field("kind", pa.int32(), False), pa.field("value", pa.binary())])
@@ -41,7 +47,7 @@ def read(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def write_log(rows: DataFrame, path: str) -> None:
-    rows.select(*_COLUMNS).write.option("compression", "zstd").option("parquet.page.write-checksum.enabled", "true").parquet(path)
+    _writer(rows).parquet(path)
 
 
 def write_log_here(rows: list[tuple[bytes, int, int, bytes | None]], path: str) -> None:
@@ -51,16 +57,73 @@ def write_log_here(rows: list[tuple[bytes, int, int, bytes | None]], path: str)
     pq.write_table(pa.Table.from_arrays(columns, schema=_ARROW), f"{path}/part-00000.parquet", compression="zstd", write_page_checksum=True)
 
 
-def write_runs(rows: DataFrame, path: str, files: int, entries: int) -> None:
+def _writer(rows: DataFrame) -> DataFrameWriter:
+    return rows.select(*_COLUMNS).write.option("compression", "zstd").option("parquet.page.write-checksum.enabled", "true")
+
+
+def write_runs(rows: DataFrame, path: str, files: int, entries: int, size: int = 0) -> None:
     """``files`` runs of disjoint key ranges, each in internal order, of ``entries`` rows in all.
 
     Ranges are by key alone, so all versions of a key are in one file. A file's Bloom filter over
-    its keys is made for its share of the rows.
+    its keys is made for its share of the rows. Rows of over ``SORT_BYTES`` (``size``, as the
+    memtable counts them) are sorted in ranges first: a task never sorts a file or a key whole.
     """
+    if size > SORT_BYTES:
+        staging = f"{os.path.dirname(path)}/staging={os.path.basename(path).rpartition('=')[2]}"
+        try:
+            _merge_ranges(rows, staging, path, files, entries, size)
+        finally:
+            shutil.rmtree(staging, ignore_errors=True)
+        return
     ordered = (rows.coalesce(1) if files == 1 else rows.repartitionByRange(files, "key")).sortWithinPartitions("key", F.desc("seq"))
-    writer = ordered.select(*_COLUMNS).write.option("compression", "zstd").option("parquet.page.write-checksum.enabled", "true")
+    _bloomed(_writer(ordered), entries, files).parquet(path)
+
+
+def _bloomed(writer: DataFrameWriter, entries: int, files: int) -> DataFrameWriter:
     each = str(max(16, -(-entries // files)))
-    writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", each).parquet(path)
+    return writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", each)
+
+
+def _merge_ranges(rows: DataFrame, staging: str, path: str, files: int, entries: int, size: int) -> None:
+    """Ranges of key and seq, sorted by a task each; then a task for each file strings them together.
+
+    A range may begin within a key. Files are cut at the first key of a range, and take what the
+    range before has of that key. Both kinds of task hold a range or a few batches at most.
+    """
+    spark, parts = rows.sparkSession, max(files, -(-size // SORT_BYTES))
+    order = ["key", F.desc("seq")]
+    _writer(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)).parquet(staging)
+    ranges = sorted(describe(spark, staging), key=lambda f: (f.smallest, f.largest, -f.max_seq))
+    if not ranges:
+        return os.makedirs(path)
+    share, cuts, held = sum(f.entries for f in ranges) / files, [ranges[0].smallest], 0
+    for f in ranges:
+        if held >= share * len(cuts) and f.smallest > cuts[-1]:
+            cuts.append(f.smallest)
+        held += f.entries
+    plan = [(lo, hi, [f.path for f in ranges if f.largest >= lo and (hi is None or f.smallest < hi)]) for lo, hi in zip(cuts, [*cuts[1:], None], strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in b.column("id").to_pylist():
+                yield from _between(*plan[n])
+
+    merged = spark.range(0, len(plan), 1, len(plan)).mapInArrow(run, "key binary, seq long, kind int, value binary")  # a task a file
+    group = max(1, entries * ROW_GROUP_BYTES // size)
+    _bloomed(_writer(merged), min(group, -(-entries // len(plan))), 1).option("parquet.block.row.count.limit", str(group)).parquet(path)
+
+
+def _between(lo: bytes, hi: bytes | None, paths: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of the files, one file after the other, with keys from ``lo`` to before ``hi``."""
+    for path in paths:
+        with pq.ParquetFile(path, buffer_size=1 << 20, pre_buffer=False, page_checksum_verification=True) as f:
+            width = sum(f.metadata.row_group(i).total_byte_size for i in range(f.metadata.num_row_groups)) // f.metadata.num_rows + 1
+            for b in f.iter_batches(max(1, min(4096, (4 << 20) // width)), columns=_COLUMNS):
+                keep = pc.greater_equal(b.column("key"), pa.scalar(lo, pa.binary()))
+                if hi is not None:
+                    keep = pc.and_(keep, pc.less(b.column("key"), pa.scalar(hi, pa.binary())))
+                if (found := b.filter(keep)).num_rows:
+                    yield found
 
 
 def data_files(path: str) -> list[str]:

@@ -522,7 +522,7 @@ class Store:
         try:
             held = [f for b in logs for f in b.files]
             rows = layout.read(self.spark, [b.path for b in logs])
-            layout.write_runs(rows, path, self._sized(sum(f.size for f in held)), sum(f.rows for f in held))
+            layout.write_runs(rows, path, self._sized(sum(f.size for f in held)), sum(f.rows for f in held), sum(b.mem_bytes for b in logs))
             layout.sync(path)
             found = layout.describe(self.spark, path)
             with self._guard:
@@ -552,7 +552,7 @@ class Store:
         try:
             tagged = layout.read(self.spark, [f.path for f in inputs]).withColumn("src", F.lit(0))
             rows = retain(merge_tagged(tagged).drop("src"), oldest, bottom=bottom)
-            layout.write_runs(rows, path, self._sized(sum(f.size for f in inputs)), sum(f.entries for f in inputs))
+            layout.write_runs(rows, path, self._sized(sum(f.size for f in inputs)), sum(f.entries for f in inputs), sum(f.payload + ENTRY_OVERHEAD * f.entries for f in inputs))
             layout.sync(path)
             found = layout.describe(self.spark, path)
             with self._guard:
